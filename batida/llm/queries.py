@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batida.llm import byte_bpe, url_filter
+from batida.llm import byte_bpe, quality_rules, toxicity, url_filter
 from batida.llm.common import table
 
 
@@ -14,16 +14,26 @@ def _tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), *_tokenizer())
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
 }
 ORACLES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batida.llm import byte_bpe, quality_rules, toxicity, url_filter
+from batida.llm import byte_bpe, quality_rules, secrets, toxicity, url_filter
 from batida.llm.common import table
 
 
@@ -30,11 +30,16 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {
     "op9_url_filter": url_filter.oracle(),

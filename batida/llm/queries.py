@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batida.llm import byte_bpe, decontamination, ngram_join, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity, url_filter
+from batida.llm import byte_bpe, decontamination, lang_model, ngram_join, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity, url_filter
 from batida.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_model.score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,

@@ -12,14 +12,12 @@ Terms that the labels show beyond the fixed lists join the insult lexicon.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batida.llm.common import held_out
+from batida.llm.common import add_from_texts, held_out, materialize
 
 FOLDS = 5
 SAMPLE = 20_000  # labelled texts, about, that terms are learned from
@@ -27,6 +25,7 @@ LEAST_CONTEXTS = 12  # different neighbourhoods a learned term must be seen in
 LEAST_SHARE = 0.75  # of them in toxic texts
 STEMS = range(4, 9)  # lengths of word beginnings that can be terms
 MOST_TERMS = 400
+MOST_SUSPECTS = 20_000  # words, so their broadcast has a bound
 CAP = 3  # events of one kind that count
 
 # The lexicons.
@@ -144,19 +143,20 @@ def events(text: str, symbols: Lexicon, arcs) -> dict[str, int]:
 
 
 def event_counts(docs: DataFrame, learned: list[str]) -> DataFrame:
-    """doc_id and one capped count per event kind."""
+    """docs with one capped count per event kind."""
     kinds = list(EVENTS)
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"e_{k} int" for k in kinds)
     arcs, _ = compose(grammar())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         symbols = Lexicon(learned)
-        for batch in batches:
-            found = [events(t or "", symbols, arcs) for t in batch.column(1).to_pylist()]
-            counts = [pa.array([min(CAP, f.get(k, 0)) for f in found], pa.int32()) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts], names=["doc_id"] + [f"e_{k}" for k in kinds])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+        def work(texts: list) -> list:
+            found = [events(t or "", symbols, arcs) for t in texts]
+            return [[min(CAP, f.get(k, 0)) for f in found] for k in kinds]
+
+        return work
+
+    return add_from_texts(docs, {f"e_{k}": "int" for k in kinds}, make)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -174,9 +174,13 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
     train = training_labels(labels)
     total = train.count()
     picked = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, total))))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
     words = F.expr(r"regexp_extract_all(lower(text), '[\\p{L}]+', 0)")
     each = sample.select("doc_id", "toxic", words.alias("w")).where(F.size("w") > 0).select("doc_id", "toxic", "w", F.posexplode("w").alias("k", "word"))
+    # counts come first, so that neighbourhoods are gathered for suspect words alone
+    rated = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
+    suspects = rated.where((F.col("n") >= 3) & (F.col("bad") >= 0.5 * F.col("n"))).orderBy(F.desc("bad"), "word").limit(MOST_SUSPECTS).select("word")
+    each = each.join(F.broadcast(suspects), "word")
     near = F.xxhash64(F.try_element_at("w", F.when(F.col("k") > 0, F.col("k"))), F.try_element_at("w", F.col("k") + 2))
     seen = each.select("doc_id", "toxic", "word", near.alias("near")).groupBy("word", "near").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc"))
     rated = seen.groupBy("word", "doc").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
@@ -198,7 +202,7 @@ def fit(counts: DataFrame, labels: DataFrame) -> list[float]:
     import numpy as np
 
     names = [f"e_{k}" for k in EVENTS]
-    joined = counts.join(training_labels(labels), "doc_id")
+    joined = counts.select("doc_id", *names).join(training_labels(labels), "doc_id")
     rows = joined.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).collect()
     prior = np.array([BIAS, *(PRIOR[k] for k in EVENTS)])
     if not rows:
@@ -215,6 +219,20 @@ def fit(counts: DataFrame, labels: DataFrame) -> list[float]:
     return w.tolist()
 
 
+def probability(weights: list[float]) -> Column:
+    total = F.lit(weights[0])
+    for k, w in zip(EVENTS, weights[1:], strict=True):
+        total = total + w * F.col(f"e_{k}")
+    return 1 / (1 + F.exp(-total))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with their columns, whose score is below 0.5; null and empty texts stay."""
+    labels = labels.select("doc_id", "toxic")
+    counts = event_counts(docs, learn_terms(docs, labels))
+    return counts.where(probability(fit(counts, labels)) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the event counts of every row.
 
@@ -224,11 +242,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
     counts = event_counts(docs, learn_terms(docs, labels))
-    weights = fit(counts, labels)
-    total = F.lit(weights[0])
-    for k, w in zip(EVENTS, weights[1:], strict=True):
-        total = total + w * F.col(f"e_{k}")
-    p = 1 / (1 + F.exp(-total))
+    p = probability(fit(counts, labels))
     names = {AIMED: "n_aimed", PLAIN: "n_plain", SEEN: "n_learned", DENIED: "n_denied", TOLD: "n_reported", THREAT: "n_threats", ACT: "n_violent", TOLD_ACT: "n_reported_violent"}
     return counts.select(
         "doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"),

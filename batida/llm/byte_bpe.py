@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 200_000  # pre-tokens that one task remembers
+from batida.llm.common import add_from_texts
 
-ENCODED = "doc_id {id}, n_tokens long, ids array<int>, decoded binary"
+CACHE = 200_000  # pre-tokens that one task remembers
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -104,50 +104,45 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _column(docs: DataFrame, path: str, pattern: str, row, schema: str) -> DataFrame:
-    """row(codec, text) gives the values after doc_id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
-        for batch in batches:
-            codec = codec or Codec(read_ranks(path), pattern)
-            rows = [row(codec, t or "") for t in batch.column(1).to_pylist()]
-            arrays = [batch.column(0)] + [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds_after)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    full = schema.replace("{id}", dict(docs.dtypes)["doc_id"])
-    kinds = to_arrow_schema(_parse_datatype_string(full))
-    kinds_after, names = list(kinds)[1:], kinds.names
-    return docs.select("doc_id", "text").mapInArrow(run, full)
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded of every row, in the ranks of the file at path.
+    """The columns of docs with n_tokens, ids and decoded (bytes), in the ranks of the file at path.
 
     A null text counts as empty: no ids, no bytes. Rows with equal ids are
-    encoded one by one; other columns are ignored; an empty table gives no
-    rows.
+    encoded one by one; columns that have the names of the new ones give way;
+    an empty table gives no rows.
     """
 
-    def row(codec: Codec, text: str):
-        ids = codec.encode(text)
-        return len(ids), ids, codec.decode(ids)
+    def make():
+        codec = Codec(read_ranks(path), pattern)
+
+        def work(texts: list) -> list:
+            ids = [codec.encode(t or "") for t in texts]
+            return [[len(x) for x in ids], ids, [codec.decode(x) for x in ids]]
 
-    return _column(docs, path, pattern, row, ENCODED)
+        return work
+
+    return add_from_texts(docs, {"n_tokens": "long", "ids": "array<int>", "decoded": "binary"}, make)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode_documents, digested within the task."""
 
-    def row(codec: Codec, text: str):
-        ids = codec.encode(text)
-        spoken = " ".join(map(str, ids)).encode()
-        return len(ids), hashlib.sha256(spoken).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+    def make():
+        codec = Codec(read_ranks(path), pattern)
+
+        def work(texts: list) -> list:
+            n, spoken, back = [], [], []
+            for t in texts:
+                ids = codec.encode(t or "")
+                n.append(len(ids))
+                spoken.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            return [n, spoken, back]
+
+        return work
 
-    return _column(docs, path, pattern, row, "doc_id {id}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return add_from_texts(docs.select("doc_id", "text"), added, make).drop("text")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

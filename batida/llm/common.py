@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,34 @@ def text_bytes(docs: DataFrame) -> int:
 def held_out(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds, is 0 (a null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
+def add_from_texts(docs: DataFrame, added: dict[str, str], make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """docs with columns computed from its texts in Arrow batches, without a join.
+
+    added: name -> DDL type. make() is called once per task and gives the
+    function from a list of texts (null: None) to one list per added column.
+    A column of docs with the name of an added one gives way to it.
+    """
+    own = [c for c in docs.columns if c not in added]
+    at = own.index("text")
+    kinds = dict(docs.dtypes)
+    names = [f"c{i}" for i in range(len(own))] + [f"x{i}" for i in range(len(added))]
+    ddl = ", ".join(f"{n} {k}" for n, k in zip(names, [*(kinds[c] for c in own), *added.values()], strict=True))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for batch in batches:
+            work = work or make()
+            new = work(batch.column(at).to_pylist())
+            fields = [schema.field(len(own) + k) for k in range(len(new))]
+            arrays = [batch.column(k) for k in range(len(own))] + [pa.array(x, f.type) for x, f in zip(new, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    out = docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, ddl)
+    return out.toDF(*own, *added)

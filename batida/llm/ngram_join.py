@@ -19,17 +19,18 @@ output is linear however many rows are alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from itertools import combinations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batida.llm.common import materialize
+from batida.llm.common import materialize, text_bytes
 from batida.llm.components import components
 from batida.llm.decontamination import slices
-from batida.llm.repeats import mix
+from batida.llm.repeats import BLOCK, REPLY, REQUEST, mix, send, shared_names
 from batida.llm.substring_dedup import words
 
 ROWS = 256  # documents of a row block
@@ -122,28 +123,68 @@ def signatures(grams, levels: Levels):
     return np.concatenate(out) if out else grams[:0]
 
 
-def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), sigs."""
+class Names:
+    """The signatures of a block of documents: each once, in a fixed order, dealt into buckets."""
+
+    def __init__(self, docs: pa.Table, n: int, percent: int, buckets: int):
+        import numpy as np
+
+        levels = Levels(percent)
+        texts = [(t or "").encode() for t in docs.column("text").to_pylist()]
+        self.sets = [s for _, part in slices(texts) for s in ngram_sets(part, n)]
+        self.sigs = [signatures(s, levels) for s in self.sets]
+        # once a document, so that a count of two means two documents
+        names, self.of, self.times = np.unique(np.concatenate([*(np.unique(s) for s in self.sigs), np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        bucket = ((names >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.names, self.times, self.bucket = names[order], self.times[order], bucket[order]
+
+    def shared(self, replies: dict[int, bytes]):
+        """The signatures, sorted, that another document of the corpus has too."""
+        import numpy as np
+
+        masks = [np.zeros(0, bool)]
+        for bucket, size in zip(*np.unique(self.bucket, return_counts=True), strict=True):
+            masks.append(np.unpackbits(np.frombuffer(replies[bucket], np.uint8)).astype(bool)[:size])
+        return np.sort(self.names[np.concatenate(masks) | (self.times > 1)])
+
+
+def features(docs: DataFrame, n: int, percent: int, block_bytes: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, key (of the set), sigs and text; sigs that no other document has are left out, and texts without any left are null.
+
+    Blocks of documents ask the buckets of their signatures which of them
+    other blocks have, by 4 bytes each; a false match costs time only.
+    """
     kind = dict(docs.dtypes)["doc_id"]
+    total = text_bytes(docs)
+    n_blocks, n_buckets = max(8, math.ceil(total / block_bytes)), max(16, math.ceil(total / (16 << 20)))
+    by_block = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), "doc_id", "text").groupBy("block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        names = Names(table, n, percent, n_buckets)
+        out = send(names.bucket, names.names.astype(np.uint32))
+        return out.add_column(0, "block", pa.array([key[0].as_py()] * out.num_rows, pa.int64()))
+
+    def sift(table: pa.Table, said: pa.Table) -> pa.Table:
         import numpy as np
         import xxhash
 
-        levels = Levels(percent)
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for begin, part in slices(texts):
-                sets = ngram_sets(part, n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(begin, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([signatures(s, levels).astype(np.int64) for s in sets], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_shingles", "key", "sigs"],
-                )
+        names = Names(table, n, percent, n_buckets)
+        shared = names.shared(dict(zip(said.column("bucket").to_pylist(), said.column("payload").to_pylist(), strict=True)))
+        left = [s[np.isin(s, shared)].astype(np.int64) for s in names.sigs]
+        copied = pa.array([len(s) > 0 for s in left])
+        text = table.column("text").combine_chunks()
+        return pa.table(
+            {
+                "doc_id": table.column("doc_id"), "n_shingles": pa.array([len(s) for s in names.sets], pa.int64()), "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in names.sets], pa.binary()),
+                "sigs": pa.array(left, pa.list_(pa.int64())), "text": pc.if_else(copied, text, pa.scalar(None, text.type)),
+            }
+        )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, sigs array<long>")
+    said = by_block.applyInArrow(ask, REQUEST).groupBy("bucket").applyInArrow(shared_names(1 << 31), REPLY)
+    return by_block.cogroup(said.groupBy("block")).applyInArrow(sift, f"doc_id {kind}, n_shingles long, key binary, sigs array<long>, text string")
 
 
 def overlaps(left, right, percent: int):
@@ -230,7 +271,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     A text with fewer than n words is one n-gram; null texts and texts
     without words link with nothing. A null doc_id links with nothing and
     keeps a null component. Rows that repeat a doc_id count as one document
-    each and share a component if their sets link or are equal. Other columns
+    each, joined in one component. Other columns
     are ignored; an empty table gives no rows. doc_id must be an integer.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -240,12 +281,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     sig = usable.select("doc_id", F.explode("sigs").alias("sig"))
     hubs = sig.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub < most").select("sig", "hub")
     candidate = components(sig.join(hubs, "sig").where("doc_id > hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-    member = candidate.join(classes.select(F.col("rep").alias("node"), "copies"), "node")
+    member = candidate.withColumnRenamed("node", "rep").join(classes, "rep")
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     dealt = member.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / ROWS))
-    dealt = dealt.select(F.col("node").alias("doc_id"), "component", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
-    texts = docs.join(dealt, "doc_id")
-    paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col("rep").alias("doc_id"), "key", "component", "copies", "blocks", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).alias("own"))
+    texts = known.where(F.col("text").isNotNull()).select("doc_id", "key", "text").join(dealt, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tasks = paired.select("doc_id", "text", "copies", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     found = materialize(tasks.groupBy("component", "lo", "hi").applyInArrow(block_links(n, percent), "doc_id long, root long, n_links long"))
     joined = components(found.where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))

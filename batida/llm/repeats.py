@@ -248,14 +248,15 @@ class Block:
         edges -= np.bincount(at + length, minlength=n + 1)
         return np.cumsum(edges)[:n] > 0
 
-    def send(self, buckets, *columns) -> pa.Table:
-        """One row per bucket: the columns' entries for it, one column after the other."""
-        import numpy as np
 
-        number, first = np.unique(buckets, return_index=True)
-        cuts = np.r_[first, len(buckets)]
-        payload = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"bucket": pa.array(number, pa.int64()), "payload": pa.array(payload, pa.binary())})
+def send(buckets, *columns) -> pa.Table:
+    """bucket, payload: one row per bucket with the columns' entries for it, one column after the other; buckets are sorted."""
+    import numpy as np
+
+    number, first = np.unique(buckets, return_index=True)
+    cuts = np.r_[first, len(buckets)]
+    payload = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"bucket": pa.array(number, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
 def bucket_rows(table: pa.Table, width: int):
@@ -280,7 +281,9 @@ def reply(table: pa.Table, level: int, payloads: list[bytes]) -> pa.Table:
     )
 
 
-def answer0(search: Search):
+def shared_names(hot: int):
+    """Two bits an entry of 4 bytes: whether another block has it too, and whether `hot` blocks or more have it."""
+
     def run(table: pa.Table) -> pa.Table:
         import numpy as np
 
@@ -289,7 +292,7 @@ def answer0(search: Search):
         _, of, times = np.unique(names, return_inverse=True, return_counts=True)
         times, cuts = times[of], np.r_[0, np.cumsum(sizes)]
         pack = lambda mask: np.packbits(mask).tobytes()
-        return reply(table, 0, [pack(times[a:b] > 1) + pack(times[a:b] >= search.hot) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return reply(table, 0, [pack(times[a:b] > 1) + pack(times[a:b] >= hot) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
     return run
 
@@ -366,20 +369,20 @@ def remove_repeats(docs: DataFrame, search: Search, finish: Callable[[Block], pa
         import numpy as np
 
         b = Block(search, table, n_buckets)
-        return sent(key, b.send(b.bucket0, b.names0.astype(np.uint32)))
+        return sent(key, send(b.bucket0, b.names0.astype(np.uint32)))
 
     def ask1(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         import numpy as np
 
         b = Block(search, table, n_buckets)
         b.read0(replies(said)[0])
-        return sent(key, b.send(b.bucket1, b.gram1, b.span1, b.value1, b.hot1.astype(np.uint8)))
+        return sent(key, send(b.bucket1, b.gram1, b.span1, b.value1, b.hot1.astype(np.uint8)))
 
     def ask2(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         b, r = Block(search, table, n_buckets), replies(said)
         b.read0(r[0])
         b.read1(r[1])
-        return sent(key, b.send(b.bucket2, b.names2, b.value2))
+        return sent(key, send(b.bucket2, b.names2, b.value2))
 
     def last(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         b, r = Block(search, table, n_buckets), replies(said)
@@ -388,7 +391,7 @@ def remove_repeats(docs: DataFrame, search: Search, finish: Callable[[Block], pa
         b.read2(r[2])
         return finish(b)
 
-    said0 = by_block.applyInArrow(ask0, REQUEST).groupBy("bucket").applyInArrow(answer0(search), REPLY)
+    said0 = by_block.applyInArrow(ask0, REQUEST).groupBy("bucket").applyInArrow(shared_names(search.hot), REPLY)
     said1 = by_block.cogroup(said0.groupBy("block")).applyInArrow(ask1, REQUEST).groupBy("bucket").applyInArrow(answer1(search), REPLY)
     said01 = said0.unionByName(said1)
     said2 = by_block.cogroup(said01.groupBy("block")).applyInArrow(ask2, REQUEST).groupBy("bucket").applyInArrow(answer2(search), REPLY)

@@ -93,6 +93,7 @@ class Block:
     def __init__(self, search: Search, docs: pa.Table, buckets: int):
         import numpy as np
 
+        docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # shuffles deal rows in any order
         self.search, self.buckets, self.docs = search, np.uint64(buckets), docs
         ids = docs.column("doc_id").cast(pa.int64()) if docs.num_rows else pa.chunked_array([[]], pa.int64())
         self.ids = ids.fill_null(NONE).to_numpy().astype(np.int64)

@@ -47,6 +47,7 @@ EVENTS = (AIMED, PLAIN, SEEN, DENIED, TOLD, THREAT, ACT, TOLD_ACT)
 #: Prior weights of the events, and of a text without any (the bias).
 PRIOR = {AIMED: 4.0, PLAIN: 3.0, SEEN: 2.0, DENIED: 0.5, TOLD: 1.0, THREAT: 3.0, ACT: 0.3, TOLD_ACT: 0.0}
 BIAS = -3.0
+ANY = 3.0  # prior weight of a text's having any insult of the fixed lists that is said outright
 RIDGE = 2.0
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]|[\"“”„«»]")
@@ -194,7 +195,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
 
 
 def fit(counts: DataFrame, labels: DataFrame) -> list[float]:
-    """Bias and event weights: ridge logistic regression around the prior.
+    """Bias, event weights and the weight of having any outright insult: ridge logistic regression around the prior.
 
     The counts are capped, so the table of distinct count vectors that the
     driver sees is bounded, however many texts there are.
@@ -204,10 +205,10 @@ def fit(counts: DataFrame, labels: DataFrame) -> list[float]:
     names = [f"e_{k}" for k in EVENTS]
     joined = counts.select("doc_id", *names).join(training_labels(labels), "doc_id")
     rows = joined.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).collect()
-    prior = np.array([BIAS, *(PRIOR[k] for k in EVENTS)])
+    prior = np.array([BIAS, *(PRIOR[k] for k in EVENTS), ANY])
     if not rows:
         return prior.tolist()
-    x = np.array([[1.0, *(r[c] for c in names)] for r in rows])
+    x = np.array([[1.0, *(r[c] for c in names), float(r[f"e_{AIMED}"] + r[f"e_{PLAIN}"] > 0)] for r in rows])
     n, bad = np.array([float(r["n"]) for r in rows]), np.array([float(r["bad"]) for r in rows])
     w, pull = prior.copy(), RIDGE * np.eye(len(prior))
     for _ in range(50):
@@ -221,8 +222,9 @@ def fit(counts: DataFrame, labels: DataFrame) -> list[float]:
 
 def probability(weights: list[float]) -> Column:
     total = F.lit(weights[0])
-    for k, w in zip(EVENTS, weights[1:], strict=True):
+    for k, w in zip(EVENTS, weights[1:-1], strict=True):
         total = total + w * F.col(f"e_{k}")
+    total = total + F.when(F.col(f"e_{AIMED}") + F.col(f"e_{PLAIN}") > 0, weights[-1]).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 

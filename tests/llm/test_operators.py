@@ -1,0 +1,404 @@
+"""Operators against brute force, and their edge cases."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from batida.llm import byte_bpe, common, decontamination, lang_model, ngram_join, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity, url_filter
+from batida.llm.components import components
+from batida.llm.repeats import Search
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, bucket string, base string, spans string"
+
+
+def table(spark, rows):
+    """rows of (doc_id, text); the other columns clash with names inside the operators."""
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 7, "x", "b", "s") for i, t in rows], SCHEMA).repartition(3)
+
+
+def babble(seed, n=60, words=6, most=40):
+    """Texts over few words, so that windows repeat; with copies, runs of one word, empty and null texts."""
+    r = random.Random(seed)
+    vocab = [f"w{k}" for k in range(words)]
+    out = [" ".join(r.choice(vocab) for _ in range(r.randint(0, most))) for _ in range(n)]
+    out += [out[0], out[1], "w0 " * 30, "w0 " * 31 + "w1", "", None, " \n\t", "ü é\u00a0ß " * 9, "ü é\u00a0ß " * 10 + "w1"]
+    return list(enumerate(out))
+
+
+def test_substring_dedup(spark):
+    for seed, window in ((1, 5), (2, 8)):
+        rows = babble(seed) + [(3, "w1 w2 w3 w4 w5 w0 w1 w2 w3"), (3, "w1 w2 w3 w4 w5 w0 w1 w2 w3")]
+        got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(table(spark, rows), window, block_bytes=300, bytes_per_bucket=300).collect())
+        seen = collections.Counter(tuple(w[k : k + window]) for _, t in rows for w in [(t or "").encode().split()] for k in range(len(w) - window + 1))
+        want = collections.Counter()
+        for i, t in rows:
+            w = (t or "").encode().split()
+            gone = {k + j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(window)}
+            want[i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()] += 1
+        assert got == want
+
+
+def test_suffix_dedup(spark):
+    rows = babble(3) + [(None, "w0 w1 w2 w3 w4 w5 w0 w1"), (5, "w0 w1 w2 w3"), (5, "w0 w1 w2 w3")]
+    for threshold in (12, 9):
+        got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(table(spark, rows), threshold, block_bytes=300, bytes_per_bucket=300).collect())
+        least = {}
+        for i, t in rows:
+            b = (t or "").encode()
+            for k in range(len(b) - threshold + 1):
+                s = b[k : k + threshold]
+                least[s] = min(least.get(s, math.inf), math.inf if i is None else i)
+        want = collections.Counter()
+        for i, t in rows:
+            b, own = (t or "").encode(), math.inf if i is None else i
+            gone = sorted({k + j for k in range(len(b) - threshold + 1) if least[b[k : k + threshold]] < own for j in range(threshold)})
+            runs = sum(1 for k in gone if k - 1 not in set(gone))
+            want[i, len(b), len(gone), runs, bytes(x for k, x in enumerate(b) if k not in set(gone))] += 1
+        assert got == want
+
+
+def test_hot_anchors_are_dealt_by_span(spark):
+    """With every shared anchor taken as hot, the result is the same."""
+    rows = babble(4)
+    plain = substring_dedup.search(6)
+    hot = Search(plain.window, plain.gram, plain.symbols, plain.names, plain.earlier, hot=2)
+    done = []
+    for s in (plain, hot):
+
+        def finish(block):
+            import pyarrow as pa
+
+            gone = block.removed()
+            return pa.table({"doc_id": block.docs.column("doc_id"), "n": pa.array([int(gone[a:b].sum()) for a, b in zip(block.off[:-1], block.off[1:], strict=True)], pa.int64())})
+
+        done.append(sorted(map(tuple, substring_dedup.remove_repeats(table(spark, rows), s, finish, "doc_id long, n long", 300, 300).collect())))
+    assert done[0] == done[1] and sum(n for _, n in done[0]) > 0
+
+
+def linked(rows, n, percent):
+    """doc_id -> (set size, component, links) by comparing all pairs."""
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append((i, frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])))
+    label = {i: i for i, _ in sets}
+    links = collections.Counter()
+    pairs = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if s and t and 100 * len(s & t) >= percent * len(s | t)]
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            m = min(label[a], label[b])
+            changed |= label[a] != m or label[b] != m
+            label[a] = label[b] = m
+    return {i: (len(s), label[i], links[i]) for i, s in sets}
+
+
+def near_copies(seed, groups=12):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(groups):
+        base = [f"{r.choice('abcdef')}{r.randint(0, 400)}" for _ in range(r.choice([2, 3, 8, 12, 20, 25, 40, 90, 200]))]
+        for _ in range(r.randint(1, 9)):
+            w = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3, 6])):
+                w[r.randrange(len(w))] = f"x{r.randint(0, 9999)}"
+            rows.append(" ".join(w[: r.randint(len(w) - len(w) // 20, len(w))]).upper() if r.random() < 0.3 else " ".join(w))
+    return list(enumerate([*rows, rows[0], "", None, "One", "one", "one two", "One  Two"]))
+
+
+def test_ngram_join(spark):
+    for n, percent in ((3, 90), (5, 80), (1, 80)):
+        rows = near_copies(n)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.join(table(spark, rows), n, percent).collect()}
+        assert got == linked(rows, n, percent)
+
+
+def test_ngram_join_large_group(spark, monkeypatch):
+    """A group of near copies over many row blocks and column blocks."""
+    monkeypatch.setattr(ngram_join, "ROWS", 7)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+    r = random.Random(5)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(120)] = f"y{r.randint(0, 99999)}"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngram_join.join(table(spark, rows)).collect()}
+    assert got == linked(rows, 3, 90)
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 180)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(31)} | {100: 100, 101: 100, 150: 150, 180: 150, 200: 150}
+
+
+WORDS = "the old house was near a river and we went there often when it rained hard".split()
+
+
+def plain(seed, n=60):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def test_toxicity_grammar():
+    arcs, states = toxicity.compose(toxicity.grammar())
+    lex = toxicity.Lexicon(["zorg", "blarg*"])
+    read = lambda t: toxicity.events(t, lex, arcs)
+    assert states > 10
+    assert read("A quiet day.") == {}
+    assert read("What an idiot") == {"I": 1}
+    assert read("You are an idiot.") == {"A": 1}
+    assert read("He is not an idiot.") == {"D": 1}
+    assert read('She said "idiot" twice') == {"T": 1}
+    assert read("They said an idiot. Idiot.") == {"T": 1, "I": 1}
+    assert read("I will kill you.") == {"H": 1}
+    assert read("kill the lights") == {"V": 1}
+    assert read("zorg blargish blarg") == {"L": 2}
+
+
+def test_toxicity_learns_and_holds_out(spark):
+    r = random.Random(1)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        text = plain(i)
+        if bad:
+            w = text.split()
+            for _ in range(3):
+                w.insert(r.randrange(len(w)), r.choice(["idiot", "glorp"]))
+            text = " ".join(w)
+        rows.append((i, text))
+        labels.append((i, int(bad)))
+    rows += [(1000, None), (1001, ""), (1002, "x" * 200_000), (1003, "you idiot"), (1003, "you idiot"), (None, "fine words")]
+    docs, known = table(spark, rows), spark.createDataFrame([*labels, (5000, 1), (None, 1), (7, None)], "doc_id long, toxic int")
+    out = toxicity.score(docs, known).collect()
+    assert len(out) == len(rows)
+    assert all(x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in out)
+    assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in out)
+    truth = dict(labels)
+    held = [x for x in out if x.held_out and x.doc_id in truth]
+    assert len(held) > 40 and sum(x.predicted == truth[x.doc_id] for x in held) / len(held) > 0.95
+    by = {x.doc_id: x.predicted for x in out}
+    assert (by[1000], by[1001], by[1002], by[1003], by[None]) == (0, 0, 0, 1, 0)
+    assert "glorp" in toxicity.learn_terms(docs, known)
+    kept = toxicity.keep_clean(docs, known)
+    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {x.doc_id for x in out if not x.predicted}
+    empty = docs.where("false")
+    assert toxicity.score(empty, known.where("false")).count() == 0
+    assert toxicity.score(docs, known.where("false")).where("doc_id = 1003 and predicted = 1").count() == 2
+
+
+def test_lang_model(spark):
+    r = random.Random(2)
+    words = ["".join(r.choice(["ka", "lo", "mi", "tu"]) for _ in range(r.randint(1, 4))) for _ in range(150)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(40))) for i in range(150)] + [(900, None), (901, ""), (902, "Q" * 5000), (7, "again KA"), (7, "again KA"), (None, "ka lo")]
+    out = lang_model.score(table(spark, rows), block_bytes=4000, bucket_bytes=8000).collect()
+    assert len(out) == len(rows)
+    counts, tokens = collections.Counter(), lambda t: (t or "").encode().lower().split() + [None]
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            counts.update(tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    want = collections.Counter()
+    for i, t in rows:
+        w = tokens(t)
+        held = i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+        want[i, held, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)] += 1
+    assert collections.Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in out) == want
+    held = [x for x in out if x.held_out and x.n_tokens > 20]
+    assert held and all(math.isfinite(x.score) and x.score < 0 for x in out)
+    assert sum(x.score for x in held) > 1.1 * sum(x.base_score for x in held)
+    assert lang_model.score(table(spark, rows).where("false")).count() == 0
+    assert lang_model.score(table(spark, rows).select("doc_id", "text")).count() == len(rows)
+
+
+def test_spelling_is_a_distribution():
+    """Over an alphabet of two letters, the chances of all words up to a length and of longer ones add up to 1."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 3, (2, sum(lang_model.SLOTS))).astype(float)
+    weights, table_ = np.full((lang_model.GATES, lang_model.INPUTS), 0.3), lang_model.start_table()
+    every = [bytes([a]) for a in range(256) if a != lang_model.END]
+    one = np.exp(lang_model.spelled([b"", *every], counts, weights, table_))
+    two = np.exp(lang_model.spelled([bytes([97]) + b for b in [b"", *every]], counts, weights, table_))
+    assert one.sum() < 1 and two.sum() < 1 - one[0]
+    heads = [math.exp(lang_model.spelled([w], counts, weights, table_)[0]) for w in (b"", b"a")]
+    assert all(0 < h < 1 for h in heads) and list(itertools.islice(every, 1)) == [b"\x00"]
+
+
+BENCH = [
+    (1, "A train leaves Boston at 9 and travels 120 miles to reach Albany before noon. How fast did the train from Boston go?"),
+    (2, "please list seven different animals that live in deep forests and explain how each of them finds food in winter"),
+    (3, "too short"),
+    (4, None),
+]
+
+
+def test_decontamination(spark):
+    other = BENCH[0][1].replace("Boston", "Denver").replace("120", "340").replace("9", "11").replace("Albany", "Tulsa")
+    torn = BENCH[0][1].replace("Boston", "Denver", 1)  # one name twice, filled in two ways
+    rows = [
+        (1, plain(1) + " " + BENCH[1][1] + " " + plain(2)), (2, plain(3)), (3, other), (4, None), (5, ""), (6, BENCH[1][1]), (6, BENCH[1][1]), (7, "too short"), (None, BENCH[1][1]),
+        (8, plain(9, 40_000) + " " + BENCH[1][1]), (9, "x " * 10), (10, torn),
+    ]
+    bench = spark.createDataFrame([*BENCH, BENCH[1]], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(table(spark, rows), bench).collect()}
+    assert set(got) - {(10, 1)} == {(1, 2), (3, 1), (6, 2), (8, 2)}
+    assert (got[3, 1].n_slots, got[3, 1].n_changed) == (5, 4) and got[6, 2].n_changed == 0  # the unit stays
+    assert decontamination.leaks(table(spark, rows).where("false"), bench).count() == 0
+    assert decontamination.leaks(table(spark, rows), bench.where("false")).count() == 0
+
+
+def test_decontamination_without_sending(spark, monkeypatch):
+    rows = [(1, plain(1) + " " + BENCH[1][1]), (2, plain(3))]
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "MOST_SENT", 1)
+    assert [(r.doc_id, r.item_id) for r in decontamination.leaks(table(spark, rows), bench).collect()] == [(1, 2)]
+
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+def test_byte_bpe(spark):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
+    true = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(0)
+    texts = ["", None, "Hello world's  \n\n end ", "<|endoftext|>", "ü\u00a0\u2028\x00\x1f▁ ￿", "a" * 3000, "日本語 🎉🏽", " " * 50, "\r\n\t x"]
+    texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(0x80, 0x800), r.randrange(0x4E00, 0x4F00), 0x1F600])) for _ in range(80)) for _ in range(50)]
+    rows = list(enumerate(texts)) + [(0, "twice"), (0, "twice")]
+    encoded = byte_bpe.encode_documents(table(spark, rows), path, public_tokenizers.PATTERN)
+    got = collections.Counter((x.doc_id, x.n_tokens, tuple(x.ids), bytes(x.decoded)) for x in encoded.collect())
+    want = collections.Counter((i, len(ids), tuple(ids), (t or "").encode()) for i, t in rows for ids in [true.encode_ordinary(t or "")])
+    assert got == want
+    assert {"lang", "block"} <= set(encoded.columns)
+    assert collections.Counter(x.text for x in byte_bpe.decode_documents(encoded, path).collect()) == collections.Counter(t or "" for _, t in rows)
+    digests = byte_bpe.encode_digests(table(spark, rows).where("doc_id = 2"), path, public_tokenizers.PATTERN).first()
+    ids = true.encode_ordinary(texts[2])
+    assert digests.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert byte_bpe.encode_documents(table(spark, rows).where("false"), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_quality_counts():
+    r = random.Random(0)
+    for _ in range(60):
+        text = "".join(r.choice(["a", "b", "c ", " ", "\n", "#", "|", "ü", "\u00a0", "\t", "A"]) for _ in range(r.randint(0, 120)))
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        times = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {k + j for k in range(len(w) - 2) if times[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        got = quality_rules.measure(text)
+        assert got[:5] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), sum(x in lines[:k] for k, x in enumerate(lines)), len(covered))
+
+
+def test_quality_rules(spark):
+    rows = [(i, plain(i, 80)) for i in range(300)] + [(900, " ".join(x + "###" for x in plain(1, 80).split())), (901, plain(2, 80).upper()), (902, None), (903, "few words"), (904, "again and " * 60), (0, plain(0, 80))]
+    docs = table(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang")))
+    out = quality_rules.judge(docs).collect()
+    assert len(out) == len(rows)
+    by = {x.doc_id: (x.base_failed, x.kept) for x in out}
+    assert all(by[i] == (x.n_words < 50 or 2 * x.n_repeat_words > x.n_words, not by[i][0]) for x in out for i in [x.doc_id] if i < 300)
+    assert sum(k for i, (_, k) in by.items() if i < 300) > 250
+    assert by[900] == (False, False) and by[901] == (False, False) and by[902] == by[903] == by[904] == (True, False)
+    assert quality_rules.judge(docs.where("false")).count() == 0
+
+
+def test_sketches_merge(spark):
+    """Quartiles of merged sketches are within the bins' growth of the true ones."""
+    values = [random.Random(k).random() for k in range(999)]
+    one = [(str(k % 3), str(k % 5), *[v if f == "mark_ratio" else 0.0 for f in quality_rules.FEATURES]) for k, v in enumerate(values)]
+    ratios = spark.createDataFrame(one, "lang string, source string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES))
+    got = {r.feature: r for r in quality_rules.quartiles(quality_rules.sketch(ratios), []).collect()}
+    assert got["mark_ratio"].size == 999 and got["symbol_ratio"].q3 == 0
+    for q, value in zip((0.25, 0.5, 0.75), (got["mark_ratio"].q1, got["mark_ratio"].q2, got["mark_ratio"].q3), strict=True):
+        true = sorted(values)[math.ceil(q * 999) - 1]
+        assert true <= value * 1.0000001 and value <= true * quality_rules.GAMMA * 1.0000001
+
+
+def test_urls(spark):
+    urls = [
+        (None, "", "", None, "allow"), ("no scheme", "", "", None, "allow"), ("http://", "", "", None, "allow"), ("HTTP://WWW.Example.com/en/x?y#z", "www.example.com", "/en/x", "www.example.com/en/", "allow"),
+        ("http://example.com/en/x", "example.com", "/en/x", "example.com/en/", "block"), ("http://a.example.com/en/", "a.example.com", "/en/", "example.com/en/", "block"), ("http://a.com", "a.com", "", None, "allow"),
+        ("http://notexample.net/es/1", "notexample.net", "/es/1", "net/es/", "block"), ("http://casino.org/", "casino.org", "/", None, "block"), ("http://casinos.org/", "casinos.org", "/", None, "allow"),
+        ("http://free-bets.org", "free-bets.org", "", None, "block"), ("http://free.org/free?bets", "free.org", "/free", None, "allow"), ("http://x.org/a://free/bets", "x.org", "/a://free/bets", None, "block"),
+        ("x\ny://h.org#p", "h.org", "", None, "allow"), ("http://com/x", "com", "/x", "com/", "allow"), ("http://casino.org/", "casino.org", "/", None, "block"),
+    ]
+    pages = spark.createDataFrame([(i, u[0], "<p>", "r") for i, u in enumerate(urls)], "page_id long, url string, html string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect()}
+    assert got == {i: u[1:] for i, u in enumerate(urls)}
+    assert url_filter.filter_urls(pages.where("false")).count() == 0
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def test_secrets(spark):
+    r = random.Random(0)
+    hexed = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(44))
+    texts = [
+        None, "", "nothing here", f'ü🎉 Token = "{hexed}" and AKIAABCDEFGHIJKLMN1 x', "token: password: abcdefghijklmnopqr", "secret=short", "API_KEY='abc.def-ghi=jkl' passwd:x", hexed, hexed[:15],
+        f"id {key} end", "2024-01-02-03-04-05-06-07-08-09", "antidisestablishmentarianismness", "a " * 60_000 + hexed, "AKIA" + "A" * 13, "AKIA" + "A" * 14, f"{hexed} {hexed}\n{hexed}",
+    ]
+    texts += ["".join(r.choice(["token", "=", ":", " ", "'", "abcdef0123", "AKIA", "ZZZZ", "secret", "ü", "\n", "_"]) for _ in range(40)) for _ in range(200)]
+    rows = list(enumerate(texts)) + [(3, texts[3])]
+    docs = table(spark, rows)
+    got = collections.Counter((x.doc_id, x.n_assign, x.n_access, x.n_hex, x.base_sha256) for x in secrets.scan_digests(docs).collect())
+    want = collections.Counter()
+    for i, t in rows:
+        t = t or ""
+        found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        n = collections.Counter(k for _, k, _ in found)
+        said = ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in sorted(found))
+        want[i, n[0], n[1], n[2], hashlib.sha256(said.encode()).hexdigest()] += 1
+    assert got == want
+    spans = {x.doc_id: x.spans for x in secrets.scan_digests(docs).collect()}
+    assert spans[9].startswith("entropy:") and spans[10] == spans[11] == spans[2] == ""
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns
+    text = {x.doc_id: x.text for x in clean.collect()}
+    assert text[0] is None and text[2] == "nothing here" and text[3] == 'ü🎉 <SECRET>" and <SECRET> x' and hexed not in text[15]
+    assert secrets.scan_digests(docs.where("false")).count() == 0
+
+
+def test_window_entropy(spark):
+    """The incremental sum gives the entropy of each window."""
+    r = random.Random(4)
+    tokens = ["".join(r.choice("abcdefgh01234567")[: r.randint(1, 1)] for _ in range(r.randint(20, 60))) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.hot_windows(F.col("t"), F.lit(3.2)).alias("h"))
+    for row in df.collect():
+        entropy = lambda w: -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(w).values())
+        hot = [k for k in range(len(row.t) - 19) if entropy(row.t[k : k + 20]) >= 3.2 - 1e-9]
+        assert (row.h["first"], row.h["last"]) == ((hot[0], hot[-1]) if hot else (None, None))
+
+
+def test_all_operators_on_empty_tables(spark):
+    empty = table(spark, [(1, "x")]).where("false")
+    for f in (substring_dedup.dedup, suffix_dedup.dedup, ngram_join.join):
+        assert f(empty).count() == 0
+
+
+def test_shared_folder(spark):
+    df = common.materialize(spark.range(3))
+    assert df.count() == 3 and df.columns == ["id"]

@@ -76,3 +76,8 @@ def pdf_pages(spark: SparkSession, path: str, pages: str = "", to_images: Callab
 def users(spark: SparkSession, url: str, table: str = "user", **options: str) -> DataFrame:
     """A relational table of users; filters on username reach the database."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def create_users(spark: SparkSession, table: str = "users") -> None:
+    """The user table, if it is missing. Spark can't enforce unique names."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (id INT, username STRING, password BINARY) USING parquet")

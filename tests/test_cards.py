@@ -14,6 +14,7 @@ from batida.model import CARD_PAGES, DELIMITERS_A, PUNCH_COLUMNS
 from batida.operators import frames
 from batida.operators.bounds import end_a, start_a
 from batida.operators.layouts import extract, layout_b
+from batida.plans import tasks
 from batida.sources import pages as P
 from batida.sources import sinks
 from batida.sources.synthetic import synthetic_rows
@@ -203,3 +204,22 @@ def test_stream(spark, tmp_path):
     made(spark, A).write.parquet(f"{tmp_path}/in")
     extract_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/log", "A").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == sum(len(e) for _, e in A.values())
+
+
+def test_task_records(spark, tmp_path):
+    good = tasks.run(made(spark, A), "A", str(tmp_path), "t1")
+    assert (good["status"], good["progress"], good["file_path"]) == ("completed", 100, f"{tmp_path}/t1.csv")
+    assert len((tmp_path / "t1.csv").read_text(encoding="utf-8").splitlines()) == 1 + sum(len(e) for _, e in A.values())
+    empty = tasks.run(made(spark, {"null": (None, [])}), "B", str(tmp_path))
+    assert (empty["status"], empty["progress"], empty["error"]) == ("error", 100, tasks.NO_TABLE)
+    bad = tasks.run(made(spark, A), "C", str(tmp_path))
+    assert (bad["status"], bad["progress"]) == ("error", 0) and "layout" in bad["error"]
+
+
+def test_user_table(spark):
+    P.create_users(spark, "batida_users")
+    P.create_users(spark, "batida_users")
+    try:
+        assert frames.lookup(spark.table("batida_users"), F.col("username") == "x").count() == 0
+    finally:
+        spark.sql("DROP TABLE batida_users")

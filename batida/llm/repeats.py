@@ -54,15 +54,21 @@ class Search:
     hot: int = HOT
 
 
+#: entries worked on at a time, so that they stay in the processor's cache
+PIECE = 1 << 14
+
+
 def mix(x):
     """Spreads the bits of an array of uint64, in place."""
     import numpy as np
 
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0x9FB21C651E98DF25)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
+    for a in range(0, len(x), PIECE):
+        v = x[a : a + PIECE]
+        v ^= v >> np.uint64(32)
+        v *= np.uint64(0x9FB21C651E98DF25)
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(0xD6E8FEB86659FD93)
+        v ^= v >> np.uint64(32)
     return x
 
 
@@ -70,12 +76,15 @@ def least_of(x, width: int):
     """Minimum of each `width` consecutive entries."""
     import numpy as np
 
-    done = 1
-    while done < width:
-        step = min(done, width - done)
-        x = np.minimum(x[:-step], x[step:])
-        done += step
-    return x
+    out = np.empty(len(x) - width + 1, x.dtype)
+    for a in range(0, len(out), PIECE):
+        v, done = x[a : a + PIECE + width - 1], 1
+        while done < width:
+            step = min(done, width - done)
+            v = np.minimum(v[:-step], v[step:])
+            done += step
+        out[a : a + PIECE] = v
+    return out
 
 
 def ranges(starts, ends):
@@ -150,13 +159,7 @@ class Block:
         """What round 0 said: the anchors that are left, and which of them are hot."""
         import numpy as np
 
-        shared, hot = [np.zeros(0, bool)], [np.zeros(0, bool)]
-        for bucket, n in zip(*np.unique(self.bucket0, return_counts=True), strict=True):
-            bits = np.unpackbits(np.frombuffer(replies[bucket], np.uint8)).astype(bool)
-            half = len(bits) // 2
-            shared.append(bits[:n])
-            hot.append(bits[half : half + n])
-        shared, hot = np.concatenate(shared), np.concatenate(hot)
+        shared, hot = unpacked(self.bucket0, replies, 2)
         left = (shared | self.twice0)[self.of0]
         for name in ("start", "end", "gram", "span", "doc"):
             setattr(self, name, getattr(self, name)[left])
@@ -193,26 +196,26 @@ class Block:
         self.of1[order] = np.cumsum(new) - 1
 
     def read1(self, replies: dict[int, bytes]) -> None:
-        """What round 1 said: the value of each span over the corpus, and whether this block opens it."""
-        import numpy as np
-
-        total, opens = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for bucket, n in zip(*np.unique(self.bucket1, return_counts=True), strict=True):
-            total.append(np.frombuffer(replies[bucket], np.int64, n))
-            opens.append(np.frombuffer(replies[bucket], np.uint8, n, 8 * n).astype(bool))
-        self.total1, self.opens1 = np.concatenate(total), np.concatenate(opens)
+        """What round 1 said: whether a span is settled, and whether this block opens it."""
+        self.settled1, self.opens1 = unpacked(self.bucket1, replies, 2)
         self._level2()
 
+    def _answered(self, settled, value, doc):
+        """Settled by another block, or, of texts in one block, by the one with the least id."""
+        return settled | (value < doc) if self.search.earlier else settled
+
     def _level2(self) -> None:
         """The windows of one occurrence of each span that this block opens."""
         import numpy as np
 
-        mine = self.opens1[self.of1] & ((self.ids[self.doc] == self.total1[self.of1]) if self.search.earlier else True)
+        mine = self.opens1[self.of1] & ((self.ids[self.doc] == self.value1[self.of1]) if self.search.earlier else True)
         which = np.flatnonzero(mine)
         _, one = np.unique(self.of1[which], return_index=True)
         self.opened = which[one]
         at, of = ranges(self.start[self.opened], self.end[self.opened])
-        names, value = self.win[at], self.total1[self.of1[self.opened]][of]
+        entry = self.of1[self.opened]
+        value = self.value1[entry] if self.search.earlier else np.where(self.settled1[entry], 2, 1)
+        names, value = self.win[at], value[of]
         bucket = self.bucket_of(names)
         order = np.lexsort((names, bucket))
         names, bucket = names[order], bucket[order]
@@ -223,12 +226,9 @@ class Block:
     def read2(self, replies: dict[int, bytes]) -> None:
         import numpy as np
 
-        total = [np.zeros(0, np.int64)]
-        for bucket, n in zip(*np.unique(self.bucket2, return_counts=True), strict=True):
-            total.append(np.frombuffer(replies[bucket], np.int64, n))
-        total = np.concatenate(total)
+        (settled,) = unpacked(self.bucket2, replies, 1)
         order = np.argsort(self.names2)
-        self.sorted2, self.total2 = self.names2[order], total[order]
+        self.sorted2, self.settled2, self.least2 = self.names2[order], settled[order], self.value2[order]
 
     def removed(self):
         """A mask over the symbols: those covered by a repeated window."""
@@ -237,14 +237,14 @@ class Block:
         n, length = len(self.sym), self.search.window
         edges = np.zeros(n + 1, np.int64)
         doc = self.ids[self.doc]
-        total = self.total1[self.of1]
-        covered = total < doc if self.search.earlier else total >= 2
+        covered = self._answered(self.settled1[self.of1], self.value1[self.of1], doc)
         edges += np.bincount(self.start[covered], minlength=n + 1)
         edges -= np.bincount(self.end[covered] + length, minlength=n + 1)
         rest = np.flatnonzero(~covered & self.opens1[self.of1])
         at, of = ranges(self.start[rest], self.end[rest])
-        found = self.total2[np.searchsorted(self.sorted2, self.win[at])] if len(at) else np.zeros(0, np.int64)
-        at = at[found < doc[rest][of] if self.search.earlier else found >= 2]
+        if len(at):
+            entry = np.searchsorted(self.sorted2, self.win[at])
+            at = at[self._answered(self.settled2[entry], self.least2[entry], doc[rest][of])]
         edges += np.bincount(at, minlength=n + 1)
         edges -= np.bincount(at + length, minlength=n + 1)
         return np.cumsum(edges)[:n] > 0
@@ -275,6 +275,27 @@ def column(parts, sizes, kind, before: int):
     return np.concatenate([np.frombuffer(p, kind, n, n * before) for p, n in zip(parts, sizes, strict=True)])
 
 
+def packed(sizes, *masks) -> list[bytes]:
+    """The bits of the masks for each payload in turn, each mask padded to whole bytes."""
+    import numpy as np
+
+    cuts = np.r_[0, np.cumsum(sizes)]
+    return [b"".join(np.packbits(m[a:b]).tobytes() for m in masks) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def unpacked(buckets, replies: dict[int, bytes], masks: int) -> list:
+    """The masks of packed(), over all entries of a block; buckets: the bucket of each, sorted."""
+    import numpy as np
+
+    out = [[np.zeros(0, bool)] for _ in range(masks)]
+    for bucket, n in zip(*np.unique(buckets, return_counts=True), strict=True):
+        bits = np.unpackbits(np.frombuffer(replies[bucket], np.uint8)).astype(bool)
+        each = len(bits) // masks
+        for k in range(masks):
+            out[k].append(bits[k * each : k * each + n])
+    return [np.concatenate(x) for x in out]
+
+
 def reply(table: pa.Table, level: int, payloads: list[bytes]) -> pa.Table:
     n = table.num_rows
     return pa.table(
@@ -291,9 +312,8 @@ def shared_names(hot: int):
         parts, sizes = bucket_rows(table, 4)
         names = column(parts, sizes, np.uint32, 0)
         _, of, times = np.unique(names, return_inverse=True, return_counts=True)
-        times, cuts = times[of], np.r_[0, np.cumsum(sizes)]
-        pack = lambda mask: np.packbits(mask).tobytes()
-        return reply(table, 0, [pack(times[a:b] > 1) + pack(times[a:b] >= hot) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        times = times[of]
+        return reply(table, 0, packed(sizes, times > 1, times >= hot))
 
     return run
 
@@ -316,10 +336,9 @@ def answer1(search: Search):
         merged = np.minimum.reduceat(v, first) if search.earlier else np.minimum(np.add.reduceat(v, first), 2)
         spans = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram))  # different spans of each gram
         mixed = (spans[np.cumsum(new_gram) - 1] > 1) | (hot[order] > 0)
-        total, opens = np.empty(len(order), np.int64), np.empty(len(order), np.uint8)
-        total[order], opens[order] = merged[of], mixed & new
-        cuts = np.r_[0, np.cumsum(sizes)]
-        return reply(table, 1, [total[a:b].tobytes() + opens[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        settled, opens = np.empty(len(order), bool), np.empty(len(order), bool)
+        settled[order], opens[order] = merged[of] < v if search.earlier else merged[of] > 1, mixed & new
+        return reply(table, 1, packed(sizes, settled, opens))
 
     return run
 
@@ -336,8 +355,7 @@ def answer2(search: Search):
             np.minimum.at(merged, of, value)
         else:
             merged = np.minimum(np.bincount(of, value).astype(np.int64), 2)
-        total, cuts = merged[of], np.r_[0, np.cumsum(sizes)]
-        return reply(table, 2, [total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return reply(table, 2, packed(sizes, merged[of] < value if search.earlier else merged[of] > 1))
 
     return run
 

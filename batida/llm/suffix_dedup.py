@@ -17,7 +17,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from batida.llm.repeats import Block, Search, mix, remove_repeats
+from batida.llm.repeats import PIECE, Block, Search, mix, remove_repeats
 from batida.llm.substring_dedup import byte_values
 
 THRESHOLD = 50
@@ -34,7 +34,10 @@ def paired(rank, offset: int):
     """Ranks of the pairs (rank at i, rank at i + offset)."""
     import numpy as np
 
-    return mix(rank[: len(rank) - offset] * np.uint64(0xA24BAED4963EE407) + rank[offset:])
+    out = rank[: len(rank) - offset] * np.uint64(0xA24BAED4963EE407)
+    out += rank[offset:]
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def doubled(threshold: int):
@@ -49,11 +52,20 @@ def rank_names(threshold: int):
     gram = doubled(threshold)
 
     def names(sym):
-        rank, m = byte_values()[sym], 1
-        while m < gram:
-            rank = paired(rank, m)
-            m *= 2
-        return rank, paired(rank, threshold - gram)
+        import numpy as np
+
+        values = byte_values()
+        short, long = np.empty(len(sym) - gram + 1, np.uint64), np.empty(len(sym) - threshold + 1, np.uint64)
+        for a in range(0, len(short), PIECE):  # pieces overlap by the longest rank
+            rank, m = values[sym[a : a + PIECE + threshold - 1]], 1
+            while m < gram:
+                rank = paired(rank, m)
+                m *= 2
+            short[a : a + PIECE] = mix(rank[:PIECE].copy())
+            if len(rank) > threshold - gram:
+                end = paired(rank, threshold - gram)
+                long[a : a + PIECE] = mix(end[:PIECE].copy())
+        return short, long
 
     return names
 

@@ -5,13 +5,14 @@ product of the matrix with its transpose counts overlaps; it is never formed
 as a whole:
 
 * rows with equal n-gram sets are one class, kept once;
-* columns are dealt into parts by a hash, as many as the set sizes demand:
-  sets that reach the similarity differ in at most d n-grams, so of d + 1
-  or more parts some agree as a whole. Rows that agree on no part of the
-  matrix are never compared;
-* rows joined by such agreements form candidate blocks; per pair of row
-  blocks, overlap counts are accumulated over column blocks, and rows whose
-  size-derived bound is out of reach are discarded on the way.
+* columns are ordered from rare to common. Two sets of similarity t share
+  t * size of either, so they share one of the size - ceil(t * size) + 1
+  rarest columns of each: rows enter the product through these alone, and
+  rows that share none of them are never compared. N-grams of passages that
+  many documents have come last, so they bring no rows together;
+* rows so connected form candidate blocks; per pair of row blocks, overlap
+  counts are accumulated over column blocks, and rows whose size-derived
+  bound is out of reach are discarded on the way.
 
 Each pair of row blocks returns a spanning forest of its links, so the
 output is linear however many rows are alike.
@@ -20,7 +21,6 @@ output is linear however many rows are alike.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,14 +30,12 @@ from pyspark.sql import functions as F
 from batida.llm.common import materialize, text_bytes
 from batida.llm.components import components
 from batida.llm.decontamination import slices
-from batida.llm.repeats import BLOCK, REPLY, REQUEST, mix, send, shared_names
+from batida.llm.repeats import BLOCK, REPLY, REQUEST, bucket_rows, column, mix, reply, send
 from batida.llm.substring_dedup import words
 
 ROWS = 256  # documents of a row block
 COLUMNS = 4096  # n-grams of a column block
-GROWTH = 1.4  # ratio of the largest set sizes of neighbouring levels
-SPARE = 2  # parts beyond the least number, so that an agreeing part is rarely empty
-FEW = 5  # up to so many differences, two agreeing parts are asked for together
+COMMON = 255  # counts of blocks are told apart up to this
 
 
 def ngram_sets(texts: list[bytes], n: int) -> list:
@@ -64,96 +62,52 @@ def ngram_sets(texts: list[bytes], n: int) -> list:
     return out
 
 
-class Levels:
-    """Set sizes in levels; differences(level) bounds how many n-grams two sets of that level that link differ in.
-
-    Sizes up to the level's top belong to it or to the one below. percent:
-    the least similarity.
-    """
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        top = 1
-        while self._differences(top + 1) == 0:
-            top += 1
-        self.tops = [top]  # below, only equal sets link
-        while self.tops[-1] < 1 << 31:
-            self.tops.append(max(int(self.tops[-1] * GROWTH), 100 * self.tops[-1] // percent + 1))
-
-    def _differences(self, top: int) -> int:
-        return 2 * top * (100 - self.percent) // (100 + self.percent)
-
-    def of(self, size: int) -> list[tuple[int, int]]:
-        """(level, differences) of the levels at which a set of this size meets the sets it may link with."""
-        import bisect
-
-        own = bisect.bisect_left(self.tops, size)
-        most = 100 * size // self.percent
-        levels = [own] if most <= self.tops[own] else [own, own + 1]
-        return [(k, self._differences(self.tops[k])) for k in levels if self._differences(self.tops[k])]
-
-
-def signatures(grams, levels: Levels):
-    """Hashes of the parts (or pairs of parts) of a set of n-grams, at each of its levels."""
-    import numpy as np
-
-    out = []
-    spread = mix(grams + np.uint64(0x632BE59BD9B4E019))
-    for level, most in levels.of(len(grams)):
-        few = most <= FEW
-        parts = most + 2 if few else most + 1 + SPARE
-        part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        order = np.argsort(part, kind="stable")
-        sorted_parts = part[order]
-        first = np.flatnonzero(np.r_[True, sorted_parts[1:] != sorted_parts[:-1]])
-        sums[sorted_parts[first]] = np.add.reduceat(spread[order], first)
-        filled = np.zeros(parts, bool)
-        filled[part] = True
-        empty_too = int((~filled).sum()) >= parts - most  # else some agreeing part is not empty
-        salt = np.arange(parts, dtype=np.uint64) + np.uint64(level << 32 | 1)
-        name = mix(sums + salt * np.uint64(0xC2B2AE3D27D4EB4F))
-        if few:
-            two = [(a, b) for a, b in combinations(range(parts), 2) if filled[a] or filled[b] or empty_too]
-            a, b = np.array(two, np.int64).T
-            name = mix(name[a] * np.uint64(0xA24BAED4963EE407) + name[b])
-        elif not empty_too:
-            name = name[filled]
-        out.append(name)
-    return np.concatenate(out) if out else grams[:0]
-
-
 class Names:
-    """The signatures of a block of documents: each once, in a fixed order, dealt into buckets."""
+    """The n-grams of a block of documents: each once, in a fixed order, dealt into buckets."""
 
-    def __init__(self, docs: pa.Table, n: int, percent: int, buckets: int):
+    def __init__(self, docs: pa.Table, n: int, buckets: int):
         import numpy as np
 
-        levels = Levels(percent)
         texts = [(t or "").encode() for t in docs.column("text").to_pylist()]
         self.sets = [s for _, part in slices(texts) for s in ngram_sets(part, n)]
-        self.sigs = [signatures(s, levels) for s in self.sets]
-        # once a document, so that a count of two means two documents
-        names, self.of, self.times = np.unique(np.concatenate([*(np.unique(s) for s in self.sigs), np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        names, times = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]), return_counts=True)
         bucket = ((names >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        self.names, self.times, self.bucket = names[order], self.times[order], bucket[order]
+        self.sorted, self.times, self.order = names, times, np.argsort(bucket, kind="stable")
+        self.names, self.bucket = names[self.order], bucket[self.order]
 
-    def shared(self, replies: dict[int, bytes]):
-        """The signatures, sorted, that another document of the corpus has too."""
+    def rarest(self, replies: dict[int, bytes], percent: int) -> list:
+        """For each document, those of its rarest n-grams that another document has too."""
         import numpy as np
 
-        masks = [np.zeros(0, bool)]
-        for bucket, size in zip(*np.unique(self.bucket, return_counts=True), strict=True):
-            masks.append(np.unpackbits(np.frombuffer(replies[bucket], np.uint8)).astype(bool)[:size])
-        return np.sort(self.names[np.concatenate(masks) | (self.times > 1)])
+        spread = np.zeros(len(self.sorted), np.uint8)
+        answers = [np.frombuffer(replies[b], np.uint8) for b in np.unique(self.bucket).tolist()]
+        spread[self.order] = np.concatenate([*answers, np.zeros(0, np.uint8)])
+        shared = (spread > 1) | (self.times > 1)
+        out = []
+        for s in self.sets:
+            at = np.searchsorted(self.sorted, s)
+            few = len(s) - -(-percent * len(s) // 100) + 1
+            first = np.lexsort((s, spread[at]))[:few]
+            out.append(s[first[shared[at[first]]]])
+        return out
+
+
+def how_common(table: pa.Table) -> pa.Table:
+    """One byte per entry of 4 bytes: how many blocks have it, up to COMMON. It is the same for all blocks, so it orders n-grams."""
+    import numpy as np
+
+    parts, sizes = bucket_rows(table, 4)
+    _, of, times = np.unique(column(parts, sizes, np.uint32, 0), return_inverse=True, return_counts=True)
+    spread, cuts = np.minimum(times, COMMON).astype(np.uint8)[of], np.r_[0, np.cumsum(sizes)]
+    return reply(table, 0, [spread[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
 def features(docs: DataFrame, n: int, percent: int, block_bytes: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), sigs and text; sigs that no other document has are left out, and texts without any left are null.
+    """doc_id, n_shingles, key (of the set), sigs (the shared ones of its rarest n-grams) and text; null texts where no sigs are left.
 
-    Blocks of documents ask the buckets of their signatures which of them
-    other blocks have, by 4 bytes each; a false match costs time only.
+    Blocks of documents ask the buckets of their n-grams how many blocks have
+    them, by 4 bytes each; n-grams that are taken for one another so cost
+    time only, as they are alike for all documents.
     """
     kind = dict(docs.dtypes)["doc_id"]
     total = text_bytes(docs)
@@ -163,7 +117,7 @@ def features(docs: DataFrame, n: int, percent: int, block_bytes: int = BLOCK) ->
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         import numpy as np
 
-        names = Names(table, n, percent, n_buckets)
+        names = Names(table, n, n_buckets)
         out = send(names.bucket, names.names.astype(np.uint32))
         return out.add_column(0, "block", pa.array([key[0].as_py()] * out.num_rows, pa.int64()))
 
@@ -171,10 +125,10 @@ def features(docs: DataFrame, n: int, percent: int, block_bytes: int = BLOCK) ->
         import numpy as np
         import xxhash
 
-        names = Names(table, n, percent, n_buckets)
-        shared = names.shared(dict(zip(said.column("bucket").to_pylist(), said.column("payload").to_pylist(), strict=True)))
-        left = [s[np.isin(s, shared)].astype(np.int64) for s in names.sigs]
-        copied = pa.array([len(s) > 0 for s in left])
+        names = Names(table, n, n_buckets)
+        replies = dict(zip(said.column("bucket").to_pylist(), said.column("payload").to_pylist(), strict=True))
+        left = [s.astype(np.int64) for s in names.rarest(replies, percent)]
+        copied = pa.array([len(s) > 0 for s in left], pa.bool_())
         text = table.column("text").combine_chunks()
         return pa.table(
             {
@@ -183,7 +137,7 @@ def features(docs: DataFrame, n: int, percent: int, block_bytes: int = BLOCK) ->
             }
         )
 
-    said = by_block.applyInArrow(ask, REQUEST).groupBy("bucket").applyInArrow(shared_names(1 << 31), REPLY)
+    said = by_block.applyInArrow(ask, REQUEST).groupBy("bucket").applyInArrow(how_common, REPLY)
     return by_block.cogroup(said.groupBy("block")).applyInArrow(sift, f"doc_id {kind}, n_shingles long, key binary, sigs array<long>, text string")
 
 

@@ -179,15 +179,19 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
     words = F.expr(r"regexp_extract_all(lower(text), '[\\p{L}]+', 0)")
     each = sample.select("doc_id", "toxic", words.alias("w")).where(F.size("w") > 0).select("doc_id", "toxic", "w", F.posexplode("w").alias("k", "word"))
     # counts come first, so that neighbourhoods are gathered for suspect words alone
-    rated = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
-    suspects = rated.where((F.col("n") >= 3) & (F.col("bad") >= 0.5 * F.col("n"))).orderBy(F.desc("bad"), "word").limit(MOST_SUSPECTS).select("word")
+    counted = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
+    suspects = counted.where((F.col("n") >= 3) & (F.col("bad") >= 0.5 * F.col("n"))).orderBy(F.desc("bad"), "word").limit(MOST_SUSPECTS).select("word")
     each = each.join(F.broadcast(suspects), "word")
     near = F.xxhash64(F.try_element_at("w", F.when(F.col("k") > 0, F.col("k"))), F.try_element_at("w", F.col("k") + 2))
     seen = each.select("doc_id", "toxic", "word", near.alias("near")).groupBy("word", "near").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc"))
     rated = seen.groupBy("word", "doc").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
     rated = rated.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("texts"))
     cuts = F.filter(F.array(*[F.lit(k) for k in STEMS]), lambda k: k < F.length("word"))
-    begun = rated.select(F.explode(F.transform(cuts, lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem"), "n", "bad", "texts")
+    beginnings = F.explode(F.transform(cuts, lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem")
+    # a beginning is held against all words that have it, suspect or not
+    known = counted.select(beginnings, "n", "bad").join(F.broadcast(suspects.select(beginnings).distinct()), "stem")
+    known = known.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("bad") >= LEAST_SHARE * F.col("n")).select("stem")
+    begun = rated.select(beginnings, "n", "bad", "texts").join(known, "stem")
     stems = begun.groupBy(F.concat("stem", F.lit("*")).alias("word")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("texts").alias("texts"), F.count(F.lit(1)).alias("words"))
     both = rated.where(F.length("word") > 2).withColumn("words", F.lit(3)).unionByName(stems)
     good = both.where((F.col("n") >= LEAST_CONTEXTS) & (F.col("texts") >= 5) & (F.col("words") >= 3) & (F.col("bad") >= LEAST_SHARE * F.col("n")))

@@ -266,6 +266,30 @@ def test_decontamination(spark):
     assert decontamination.leaks(table(spark, rows), bench.where("false")).count() == 0
 
 
+def test_decontamination_by_occurrence(spark):
+    """Copies beside each other, templates that recur in an item, shifted and scattered parts, and items full of placeholders."""
+    other = BENCH[0][1].replace("Boston", "Denver").replace("120", "340").replace("9", "11").replace("Albany", "Tulsa")
+    again = "We know that Tom has seven green apples left today and we know that Ann has nine green apples left today"
+    dense = "Did Tom give 12 km 30 kg to Ann 5 Bob 7"
+    bare = "3 4 5 6 7 8"
+    short = "when did Rome fall"
+    words = BENCH[1][1].split()
+    longer = " ".join([*words[:9], "quite", *words[9:]])
+    scattered = " ".join(words[:9]) + " " + plain(5) + " " + " ".join(words[9:])
+    bench = spark.createDataFrame([*BENCH, (5, again), (6, dense), (7, bare), (8, short)], "item_id long, text string")
+    rows = [
+        (1, f"{BENCH[0][1]} {plain(1)} {other}"), (2, f"{plain(2)}. {again}"), (3, longer), (4, scattered), (5, f"so: x. {dense} {plain(3)}"),
+        (6, dense.replace("12", "80").replace("Ann", "Eve")), (7, f"{plain(4)} {bare}"), (8, "9 4 5 6 7 9"), (9, BENCH[0][1]), (9, other), (10, "but " + dense),
+        (11, f"{plain(6)} when did Troy fall"), (12, plain(7) + ". " + " ".join([BENCH[0][1], other] * 20)), (13, dense.replace("Tom give", "Tom gave")),
+    ]
+    for most in (decontamination.MOST_SENT, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontamination, "MOST_SENT", most)
+            got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(table(spark, rows), bench).collect()}
+        assert set(got) == {(1, 1), (2, 5), (3, 2), (4, 2), (5, 6), (6, 6), (7, 7), (9, 1), (10, 6), (11, 8), (12, 1)}
+        assert got[1, 1].n_changed == got[2, 5].n_changed == 0 and got[6, 6].n_changed == 2 and got[1, 1].coverage <= 1
+
+
 def test_decontamination_without_sending(spark, monkeypatch):
     rows = [(1, plain(1) + " " + BENCH[1][1]), (2, plain(3))]
     bench = spark.createDataFrame(BENCH, "item_id long, text string")

@@ -107,8 +107,9 @@ def entropy_spans(found: Column) -> Column:
 def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end), sorted by start, then kind.
 
-    An entropy span that overlaps a base span is left out, as that text is
-    found already. A null text counts as empty. Rows are scanned one by one,
+    An entropy span that lies within a base span is left out, as that text is
+    found already; one that reaches beyond is kept, as more may be secret
+    there. A null text counts as empty. Rows are scanned one by one,
     repeated ones too; an empty table gives no rows. keep names columns of
     docs to carry along.
     """
@@ -118,7 +119,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     base = F.concat(spans_of(F.filter("f_assign", value), "assign"), spans_of(F.col("f_access"), "access"), spans_of(F.col("f_hex"), "hex"))
     order = lambda s: F.transform(F.array_sort(F.transform(s, lambda x: F.struct(x["start"], x["kind"], x["end"]))), lambda x: F.struct(x["kind"], x["start"], x["end"]))
     some = found.select("doc_id", *keep, order(base).alias("base"), entropy_spans(F.col("f_other")).alias("other"))
-    apart = F.filter("other", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    apart = F.filter("other", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return some.select("doc_id", *keep, F.col("base").cast(SPAN).alias("base"), order(F.concat(F.col("base").cast(SPAN), apart.cast(SPAN))).cast(SPAN).alias("spans"))
 
 

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from batida.model import DATE, DELIMITERS_A, DOTTED, MISSING, SATURDAYS, SPECIAL_A, TIME, WEEKDAYS, WEEKDAYS_FROM_SUNDAY
+from batida.model import DATE, DELIMITERS_A, DOTTED, MISSING, PREFIX, SATURDAYS, SPECIAL_A, TIME, WEEKDAYS, WEEKDAYS_FROM_SUNDAY
 
 
 def _list(values) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def _once(value: Column, make) -> Column:
+    """make(value), with value worked out once however often make uses it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def date_text(line: Column) -> Column:
     """The first d/m/y as written, or ''; neither bounded nor checked."""
     return F.regexp_extract(line, f"({DATE})", 1)
@@ -32,9 +40,10 @@ def after_date(line: Column, date: Column, weekday: Column) -> Column:
 
 def before_delimiter(tail: Column, tokens=DELIMITERS_A) -> Column:
     """Cut before the first token, in the list's order, that the upper-cased text contains."""
-    up = F.upper(tail)
-    token = F.get(F.filter(_list(tokens), lambda k: F.contains(up, k) & (F.position(k, up) <= F.length(tail))), F.lit(0))
-    return F.when(token.isNull(), tail).otherwise(F.substring(tail, F.lit(1), F.position(token, up) - 1))
+    place = lambda up, k: F.when(F.contains(up, F.lit(k)), F.position(F.lit(k), up))
+    cut = lambda up: F.coalesce(*[F.when(place(up, k) <= F.length(tail), place(up, k)) for k in tokens])
+    at = _once(F.upper(tail), cut)
+    return F.when(at.isNull(), tail).otherwise(F.substring(tail, F.lit(1), at - 1))
 
 
 def times(text: Column) -> Column:
@@ -53,8 +62,7 @@ def normal_times(found: Column) -> Column:
 
 
 def is_special(line: Column, words=SPECIAL_A) -> Column:
-    up = F.upper(line)
-    return F.exists(_list(words), lambda w: F.contains(up, w))
+    return F.exists(F.array(F.upper(line)), lambda up: reduce(or_, [F.contains(up, F.lit(w)) for w in words]))
 
 
 def slots(found: Column) -> list[Column]:
@@ -75,11 +83,9 @@ def period(text: Column) -> tuple[Column, Column]:
     """First and last day of the declared period; nulls without one or where a day doesn't exist."""
     named, plain = f"(?U)Período:\\s*({DOTTED})\\s*a\\s*({DOTTED})", f"(?U)({DOTTED})\\s*-\\s*({DOTTED})"
 
-    def day(group: int) -> Column:
-        written = F.when(text.rlike(named), F.regexp_extract(text, named, group)).when(text.rlike(plain), F.regexp_extract(text, plain, group))
-        return F.try_to_date(written, "d.M.yyyy")
-
-    return day(1), day(2)
+    found = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+    written = F.regexp_extract_all(F.coalesce(found(named), found(plain)), F.lit(f"({DOTTED})"), F.lit(1))
+    return tuple(F.try_to_date(F.get(written, F.lit(i)), "d.M.yyyy") for i in (0, 1))
 
 
 def weekday_name(date: Column) -> Column:
@@ -87,9 +93,9 @@ def weekday_name(date: Column) -> Column:
 
 
 def page_bounds(pages: Column) -> tuple[Column, Column]:
-    """First and last page of 'a-b' or 'n'; nulls for all pages and for text that is no range."""
+    """First and last page of 'a-b' or 'n'; nulls for all pages and for text that is no range, numbers too large for a page included."""
     range_ = r"^\s*[0-9]+\s*-\s*[0-9]+\s*$"
-    part = lambda k: F.when(pages.rlike(range_), F.trim(F.split_part(pages, F.lit("-"), F.lit(k)))).when(pages.rlike(r"^\s*[0-9]+\s*$"), F.trim(pages)).cast("int")
+    part = lambda k: F.when(pages.rlike(range_), F.trim(F.split_part(pages, F.lit("-"), F.lit(k)))).when(pages.rlike(r"^\s*[0-9]+\s*$"), F.trim(pages)).try_cast("int")
     return part(1), part(2)
 
 
@@ -105,3 +111,14 @@ def progress_step(i: Column, total: Column) -> Column:
 
 def progress_percent(step: Column, steps: Column) -> Column:
     return F.floor(step / steps * 100).cast("int")
+
+
+def display_name(time: Column, prefix: str = PREFIX) -> Column:
+    """The name a result file is offered under."""
+    return F.concat(F.lit(f"{prefix}_ponto_extraido_"), F.date_format(time, "yyyyMMdd_HHmmss"), F.lit(".csv"))
+
+
+def page_count(pages: Column, most: int) -> Column:
+    """How many pages are made for a range, up to `most`; one without a range."""
+    first, last = page_bounds(pages)
+    return F.when(F.contains(pages, F.lit("-")) & first.isNotNull(), F.least(last - first + 1, F.lit(most))).otherwise(1)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import types as T
 
 PUNCH_COLUMNS = ("Dia", "Dia_Semana", "Entrada1", "Saida1", "Entrada2", "Saida2")
@@ -24,19 +22,13 @@ SATURDAYS = ("Sáb", "SAB", "sab", "Sabado", "sábado")
 HEADER_A = (("Dia", "Data"), ("Marcação", "Situação"))
 END_WORDS_A = ("assinatura", "funcionário", "chefia", "visto", "total", "observações")
 SPECIAL_A = ("FOLG", "COMP", "FER", "INTEGRAÇÃO", "INTERAÇÃO", "ATESTADO", "MÉDICO", "FALTA", "LICENÇA", "FÉRIAS")
-DELIMITERS_A = tuple(
-    x.strip()
-    for x in """
-    MARCAÇÃO OU | FALTAS | FALTA | AD.NOT | AD NOT | ADNOT | H.E.100% | H E 100% |
-    HE 100% | HE100% | H.E.NEG | H E NEG | HE NEG | HENEG | FALTS | FALT | FAULT |
-    A.NOT | ANOT | AD-NOT | H.E100% | HE.100% | H.E.100 | HE.100 | H.E50% | HE.50% |
-    HE50% | H.E.50 | HE.50 | H.NEG | HNEG | H NEG | H-NEG | H.N | HN | NEG | C.DIA |
-    CDIA | C DIA | C-DIA | C.D | CD | COMP.DIA | S.POS | SPOS | S POS | S-POS | S.P |
-    SP | POS | S.N | SN | H.SUP | HSUP | H SUP | H-SUP | H.S | HS | SUP | SALDO |
-    SALD | SAL | TOTAL | TOT | VISTO | CHEFIA | ASSINATURA | FUNCIONARIO |
-    FUNCIONÁRIO | ATESTADO | MEDICO | MÉDICO | LICENÇA | LICENCA | FÉRIAS | FERIAS
-    """.split("|")
-)
+DELIMITERS_A = (
+    "MARCAÇÃO OU", "FALTAS", "FALTA", "AD.NOT", "AD NOT", "ADNOT", "H.E.100%", "H E 100%", "HE 100%", "HE100%", "H.E.NEG", "H E NEG", "HE NEG",
+    "HENEG", "FALTS", "FALT", "FAULT", "A.NOT", "ANOT", "AD-NOT", "H.E100%", "HE.100%", "H.E.100", "HE.100", "H.E50%", "HE.50%", "HE50%", "H.E.50",
+    "HE.50", "H.NEG", "HNEG", "H NEG", "H-NEG", "H.N", "HN", "NEG", "C.DIA", "CDIA", "C DIA", "C-DIA", "C.D", "CD", "COMP.DIA", "S.POS", "SPOS",
+    "S POS", "S-POS", "S.P", "SP", "POS", "S.N", "SN", "H.SUP", "HSUP", "H SUP", "H-SUP", "H.S", "HS", "SUP", "SALDO", "SALD", "SAL", "TOTAL", "TOT",
+    "VISTO", "CHEFIA", "ASSINATURA", "FUNCIONARIO", "FUNCIONÁRIO", "ATESTADO", "MEDICO", "MÉDICO", "LICENÇA", "LICENCA", "FÉRIAS", "FERIAS",
+)
 
 # Fixed values, layout B.
 SPECIAL_B = ("FOLG", "COMP", "FER", "ATESTADO", "REPOSO", "FOLGA", "DESCANSO", "FERIADO", "ABONO", "FÉRIAS", "0100")
@@ -51,12 +43,5 @@ TIME = r"\b([0-2]?[0-9]:[0-5][0-9])\b"
 DOTTED = r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
 
 
-@dataclass(frozen=True)
-class Layout:
-    """name: A or B; prefix: of the display name of a result file."""
-
-    name: str
-    prefix: str
-
-
-LAYOUTS = {"A": Layout("A", "JBS"), "B": Layout("B", "BRF")}
+#: prefix of a result file's display name, where the caller gives none
+PREFIX = "cartao"

@@ -31,8 +31,11 @@ def calendar_first(calendar: DataFrame, rows: DataFrame, keys: list[str], order:
     return calendar.withColumn("day", F.day("cal_date")).join(first, [*keys, "day"], "left").drop("day")
 
 
-def distinct_pages(df: DataFrame, page: str = "Pagina") -> DataFrame:
-    return df.select(page).distinct()
+def distinct_pages(df: DataFrame, page: str = "Pagina", order: str | None = None) -> DataFrame:
+    """Each page once, in order of its number, or of where it is first seen by a column to order by."""
+    if order is None:
+        return df.select(page).distinct().orderBy(page)
+    return df.groupBy(page).agg(F.min(order).alias("_first")).orderBy("_first", page).select(page)
 
 
 def page_frame(df: DataFrame, value, page: str = "Pagina") -> DataFrame:

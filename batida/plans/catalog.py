@@ -5,7 +5,9 @@ The twins are DuckDB SQL. Time cards are made from `events` in both.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from batida.model import DELIMITERS_A, END_PHRASES_B, END_WORDS_A, PUNCH_COLUMNS
 from batida.operators import frames
 from batida.operators.bounds import end_a, end_b, start_a, start_b
 from batida.operators.layouts import layout_a, layout_b
+from batida.plans import tasks
+from batida.sources import sinks
 from batida.sources.synthetic import cards_a, cards_b, day_lines, synthetic_rows
 
 QUERIES: dict = {}
@@ -76,7 +80,7 @@ def weekday_sql(x: str) -> str:
 
 def cut_sql(x: str) -> str:
     up = f"replace(replace(upper({x}), 'ẞ', 'SS'), 'ß', 'SS')"  # as Java upper-cases it
-    return f"coalesce(substr({x}, 1, strpos({up}, list_filter({listed(DELIMITERS_A)}, lambda k: contains({up}, k))[1]) - 1), {x})"
+    return f"coalesce(substr({x}, 1, strpos({up}, list_filter({listed(DELIMITERS_A)}, lambda k: contains({up}, k) AND strpos({up}, k) <= length({x}))[1]) - 1), {x})"
 
 
 def pairs_sql(a: str) -> str:
@@ -166,12 +170,12 @@ def weekday_tag(spark, sf_dir):
     return t.select("event_id", S.weekday_tag(F.col("whole")).alias("of_line"), S.weekday_tag(F.expr("substr(whole, 5)")).alias("of_tail"))
 
 
-@query(f"""WITH t AS (SELECT doc_id AS id, text AS line FROM documents WHERE lang IN ('en', 'es', 'fr')
+@query(f"""WITH t AS (SELECT doc_id AS id, text AS line FROM documents
 UNION ALL SELECT -1 - event_id, event_type || ' 07:00 ' || CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'tot 1:00 sp' WHEN 1 THEN 'H.E.50% 00:30' WHEN 2 THEN 'ad.not 1' ELSE '' END FROM events)
 SELECT id, {cut_sql("line")} AS head FROM t""")
 def delimiter_cut(spark, sf_dir):
     """F6, over whole documents and event lines."""
-    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "es", "fr")).select(F.col("doc_id").alias("id"), F.col("text").alias("line"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("line"))
     k = F.col("event_id") % 4
     more = F.when(k == 0, "tot 1:00 sp").when(k == 1, "H.E.50% 00:30").when(k == 2, "ad.not 1").otherwise("")
     lines_ = table(spark, sf_dir, "events").select((-1 - F.col("event_id")).alias("id"), F.concat("event_type", F.lit(" 07:00 "), more).alias("line"))
@@ -197,10 +201,10 @@ def time_normalize(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(S.normal_times(S.times(times_text())), ",").alias("times"))
 
 
-@query(f"WITH t AS (SELECT doc_id AS id, text AS line FROM documents WHERE lang IN ('en', 'es', 'fr') UNION ALL SELECT -1 - event_id, event_type || ' ' || {listed(SPECIAL_A)}[event_id % 10 + 1] FROM events) SELECT id, ({SPECIAL_SQL}) AS special FROM t")
+@query(f"WITH t AS (SELECT doc_id AS id, text AS line FROM documents UNION ALL SELECT -1 - event_id, event_type || ' ' || {listed(SPECIAL_A)}[event_id % 10 + 1] FROM events) SELECT id, ({SPECIAL_SQL}) AS special FROM t")
 def special_flag(spark, sf_dir):
     """F13, over whole documents and event lines."""
-    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "es", "fr")).select(F.col("doc_id").alias("id"), F.col("text").alias("line"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("line"))
     word = F.get(F.array(*map(F.lit, SPECIAL_A)), (F.col("event_id") % 10).cast("int"))
     lines_ = table(spark, sf_dir, "events").select((-1 - F.col("event_id")).alias("id"), F.concat("event_type", F.lit(" "), word).alias("line"))
     return docs.unionByName(lines_).select("id", S.is_special(F.col("line")).alias("special"))
@@ -239,15 +243,14 @@ def period_parse(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", period_text().alias("text")).select("o_orderkey", a.alias("d0"), b.alias("d1"))
 
 
-@query("""WITH span AS (SELECT o_custkey, date_trunc('month', min(o_orderdate)) AS d0, max(o_orderdate) AS d1 FROM orders WHERE o_orderdate < DATE '1995-07-01' GROUP BY o_custkey),
+@query("""WITH span AS (SELECT o_custkey, date_trunc('month', min(o_orderdate)) AS d0, max(o_orderdate) AS d1 FROM orders GROUP BY o_custkey),
 calendar AS (SELECT o_custkey, CAST(unnest(generate_series(CAST(d0 AS TIMESTAMP), CAST(d1 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS cal_date FROM span),
 firsts AS (SELECT o_custkey, CAST(day(o_orderdate) AS INT) AS day, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY ALL)
 SELECT c.o_custkey, cal_date, o_orderpriority FROM calendar c LEFT JOIN firsts f ON f.o_custkey = c.o_custkey AND f.day = day(cal_date)""")
 def calendar_fill(spark, sf_dir):
     """DM9, J1 in its relational form: each day of a customer's period takes the first order of that day of month."""
     orders = table(spark, sf_dir, "orders")
-    early = orders.where("o_orderdate < timestamp_ntz'1995-07-01 00:00:00'")
-    span = early.groupBy("o_custkey").agg(F.trunc(F.min("o_orderdate").cast("date"), "month").alias("d0"), F.max("o_orderdate").cast("date").alias("d1"))
+    span = orders.groupBy("o_custkey").agg(F.trunc(F.min("o_orderdate").cast("date"), "month").alias("d0"), F.max("o_orderdate").cast("date").alias("d1"))
     calendar = span.select("o_custkey", F.explode(F.sequence("d0", "d1", F.expr("interval 1 day"))).alias("cal_date"))
     rows = orders.withColumn("day", F.day("o_orderdate"))
     return frames.calendar_first(calendar, rows, ["o_custkey"], "o_orderkey", "o_orderpriority").select("o_custkey", "cal_date", "o_orderpriority")
@@ -318,15 +321,80 @@ def distinct_pages(spark, sf_dir):
     return frames.distinct_pages(table(spark, sf_dir, "conversations"), "turn")
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def folder(spark, name: str) -> str:
+    """A new folder that all executors share; it goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="batida-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended already; nothing depends on the files
+            return
+
+    atexit.register(drop)
+    return path
+
+
+PUNCHES_SQL = f"""WITH {CARDS_A_SQL}, {LINES_SQL}, {BOUNDS_A_SQL}, {LINE_A_SQL},
+slots AS (SELECT *, CASE WHEN {SPECIAL_SQL} THEN [] ELSE {NORMAL_SQL} END AS four FROM timed),
+punches AS (SELECT Dia, CASE WHEN Dia_Semana = '' THEN '0' ELSE Dia_Semana END AS Dia_Semana, {pairs_sql("four")} FROM slots)"""
+
+
+@query(f"{PUNCHES_SQL} SELECT * FROM punches")
 def csv_roundtrip(spark, sf_dir):
-    """K1: written with ';' and a header, then read back as text."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="batida-csv-")
-    path = f"{base}/nation-csv-{spark.sparkContext.applicationId}"
-    table(spark, sf_dir, "nation").coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    """K1: layout A's records, written by the CSV sink, then read back as text."""
+    path = folder(spark, "csv")
+    sinks.write_csv(layout_a(cards_a(table(spark, sf_dir, "events"))), path)
     return spark.read.option("sep", ";").option("header", True).csv(path)
 
 
+@query(f"{PUNCHES_SQL} SELECT *, true AS named_by_task, 'completed' AS status, 100 AS progress, 10 AS current_step, 10 AS total_steps FROM punches")
+def task_file(spark, sf_dir):
+    """A run that is submitted, looked up, and whose file bears its id."""
+    runs = tasks.Tasks()
+    begun = runs.submit(cards_a(table(spark, sf_dir, "events")), "A", folder(spark, "tasks"))
+    record = runs.wait(begun["task_id"])
+    if record["status"] != "completed":
+        raise RuntimeError(record.get("error"))
+    rows = spark.read.option("sep", ";").option("header", True).csv(record["file_path"])
+    named = F.lit(record["file_path"].endswith(f"/{begun['task_id']}.csv"))
+    return rows.select(*PUNCH_COLUMNS, named.alias("named_by_task"), *[F.lit(record[c]).alias(c) for c in ("status", "progress", "current_step", "total_steps")])
+
+
+@query("SELECT event_id, 'cartao_ponto_extraido_' || strftime(ts, '%Y%m%d_%H%M%S') || '.csv' AS name FROM events")
+def display_names(spark, sf_dir):
+    """F27, K3."""
+    return table(spark, sf_dir, "events").select("event_id", S.display_name(F.col("ts")).alias("name"))
+
+
+@query("SELECT conv_id, CAST(turn AS INT) AS turn, role FROM conversations")
+def pages_by_folder(spark, sf_dir):
+    """A folder of files per page, read back."""
+    path = folder(spark, "pages")
+    sinks.write_by_page(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), path, "turn")
+    return spark.read.option("sep", ";").option("header", True).schema("conv_id long, role string, turn int").csv(path).select("conv_id", "turn", "role")
+
+
+@query("""WITH c AS (SELECT turn, replace(replace(replace(coalesce(role, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS r FROM conversations)
+SELECT turn, '<row><c t="inlineStr"><is><t xml:space="preserve">role</t></is></c></row>' || string_agg('<row><c t="inlineStr"><is><t xml:space="preserve">' || r || '</t></is></c></row>', '' ORDER BY r) AS xml FROM c GROUP BY turn""")
+def workbook_sheets(spark, sf_dir):
+    """K6: the sheets of a workbook, one per page, with rows in the frame's order."""
+    rows = table(spark, sf_dir, "conversations").select("turn", "role").orderBy("role")
+    return sinks.sheets(rows, "turn").withColumnRenamed("page", "turn")
+
+
+@query("SELECT page_id, CAST(CASE WHEN page_id % 4 = 0 THEN 5 ELSE 1 END AS INT) AS pages_made FROM pages")
+def page_clamp(spark, sf_dir):
+    """F28."""
+    return table(spark, sf_dir, "pages").select("page_id", S.page_count(range_text(), 5).alias("pages_made"))
+
+
 @query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_name = 'Customer#000000007' LIMIT 1")
 def point_lookup(spark, sf_dir):
     """The filter reaches the scan."""
@@ -340,7 +408,18 @@ def counts(spark, sf_dir):
     return day_lines(table(spark, sf_dir, "events")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_days"), F.sum(filled).cast("long").alias("n_times"))
 
 
-@query()
+DRAW_SQL = "CAST(('0x' || substr(md5('42' || '{k}' || id), 1, 7)) AS BIGINT) % {n} + {low}"
+
+
+def draw_sql(k: str, low: int, high: int) -> str:
+    return DRAW_SQL.format(k=k, n=high - low + 1, low=low)
+
+
+@query(f"""SELECT '0' || (id % 5 + 1) || '/11/2021' AS Dia,
+    ({draw_sql("a", 5, 7)}) || ':' || ({draw_sql("b", 50, 59)}) || ' 11:30 12:30 ' || ({draw_sql("c", 17, 19)}) || ':' || ({draw_sql("d", 50, 59)}) AS Marcacao_Ponto,
+    CASE WHEN {draw_sql("e", 0, 999)} > 800 THEN 'Folga' ELSE '' END AS Faltas, '' AS AD_NOT, '' AS H_E_100,
+    CASE WHEN {draw_sql("f", 0, 999)} > 700 THEN '00:' || ({draw_sql("g", 20, 59)}) ELSE '' END AS H_E_50, '' AS H_NEG, '' AS COMP_DIA,
+    ({draw_sql("h", 7, 9)}) || ':' || ({draw_sql("i", 10, 50)}) AS SALDO, CAST(id // 5 + 1 AS INT) AS Pagina FROM range(25) t(id)""")
 def synthetic_cards(spark, sf_dir):
-    """Made from a seed, so rows alone are checked."""
+    """The numbers follow from the seed by digests, so they are the same in any engine."""
     return synthetic_rows(spark)

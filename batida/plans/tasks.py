@@ -1,12 +1,15 @@
-"""One extraction run with a record of its state, as the service's clients see it."""
+"""Extraction runs with a record of their state, as the service's clients see it."""
 
 from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from threading import Lock
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 
+from batida.model import PREFIX
 from batida.operators.layouts import extract
 from batida.sources.sinks import EmptyResult, display_name, name_single, write_csv
 
@@ -18,7 +21,7 @@ def new_record(now: datetime) -> dict:
     return {"progress": 0, "message": "", "status": "processing", "current_step": 0, "total_steps": STEPS, "timestamp": now.isoformat()}
 
 
-def run(pages: DataFrame, layout: str, folder: str, task_id: str | None = None) -> dict:
+def run(pages: DataFrame, layout: str, folder: str, task_id: str | None = None, prefix: str = PREFIX) -> dict:
     """Writes <folder>/<task_id>.csv and returns the task's record.
 
     No rows at all end in status error with the progress at 100; any other
@@ -34,7 +37,7 @@ def run(pages: DataFrame, layout: str, folder: str, task_id: str | None = None)
         part, target = f"{folder}/{task_id}.parts", f"{folder}/{task_id}.csv"
         write_csv(rows, part)
         name_single(rows, part, target)
-        record |= {"status": "completed", "progress": 100, "current_step": STEPS, "file_path": target, "filename": display_name(layout, datetime.now())}
+        record |= {"status": "completed", "progress": 100, "current_step": STEPS, "file_path": target, "filename": display_name(datetime.now(), prefix)}
     except EmptyResult:
         record |= {"status": "error", "progress": 100, "current_step": STEPS, "error": NO_TABLE}
     except Exception as error:
@@ -43,3 +46,49 @@ def run(pages: DataFrame, layout: str, folder: str, task_id: str | None = None)
         for key in ("spark.jobGroup.id", "spark.job.description"):
             context.setLocalProperty(key, None)
     return record
+
+
+class Tasks:
+    """Runs in the background, each with a record that can be looked up while it runs."""
+
+    def __init__(self):
+        self._records: dict[str, dict] = {}
+        self._threads: dict[str, InheritableThread] = {}
+        self._context = None
+        self._lock = Lock()
+
+    def submit(self, pages: DataFrame, layout: str, folder: str, prefix: str = PREFIX) -> dict:
+        """task_id, message and status of a run that has begun."""
+        task_id = str(uuid.uuid4())
+        self._context = pages.sparkSession.sparkContext
+        self._records[task_id] = new_record(datetime.now()) | {"task_id": task_id}
+
+        def work() -> None:
+            done = run(pages, layout, folder, task_id, prefix)
+            with self._lock:
+                self._records[task_id] |= done
+
+        self._threads[task_id] = InheritableThread(target=work, daemon=True)
+        self._threads[task_id].start()
+        return {"task_id": task_id, "message": "processing has begun", "status": "processing"}
+
+    def poll(self, task_id: str) -> dict:
+        """The record as it stands; KeyError for a task that is not known.
+
+        While the run goes on, the steps between 3 and 8 follow the share of
+        finished Spark tasks of its job group.
+        """
+        with self._lock:
+            record = dict(self._records[task_id])
+        if record["status"] == "processing":
+            tracker = self._context.statusTracker()
+            stages = [s for j in tracker.getJobIdsForGroup(task_id) if (job := tracker.getJobInfo(j)) for k in job.stageIds if (s := tracker.getStageInfo(k))]
+            total, done = sum(s.numTasks for s in stages), sum(s.numCompletedTasks for s in stages)
+            if total:
+                step = 3 + done * 5 // total
+                record |= {"current_step": step, "progress": step * 100 // STEPS}
+        return record
+
+    def wait(self, task_id: str, seconds: float | None = None) -> dict:
+        self._threads[task_id].join(seconds)
+        return self.poll(task_id)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RESOLUTION = 300
 OCR_OPTIONS = "--oem 3 --psm 6 -l por"
@@ -25,52 +26,91 @@ def page_range(pages: str | None) -> tuple[int, int] | None:
     return first, last
 
 
-def rasterize(content: bytes, bounds: tuple[int, int] | None) -> list:
-    """Page images, by pdf2image."""
+def read_file(path: str) -> bytes:
+    """A file of any store that pyarrow knows, opened where it is worked on."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///"))
+    with store.open_input_stream(name) as stream:
+        return stream.read()
+
+
+def count_pages(content: bytes) -> int:
+    from pdf2image import pdfinfo_from_bytes
+
+    return int(pdfinfo_from_bytes(content)["Pages"])
+
+
+def rasterize(content: bytes, page: int):
+    """The image of one page, by pdf2image."""
     from pdf2image import convert_from_bytes
 
-    more = {} if bounds is None else {"first_page": bounds[0], "last_page": bounds[1]}
-    return convert_from_bytes(content, dpi=RESOLUTION, **more)
+    return convert_from_bytes(content, dpi=RESOLUTION, first_page=page, last_page=page)[0]
 
 
-def read_text(image) -> str:
-    """Text of one image, by OpenCV and Tesseract."""
+def read_text(image, binary: str | None = None) -> str:
+    """Text of one image, by OpenCV and Tesseract; binary: where Tesseract is, if it is not on the path."""
     import cv2
     import numpy as np
     import pytesseract
 
+    if binary:
+        pytesseract.pytesseract.tesseract_cmd = binary
     grey = cv2.cvtColor(np.array(image), cv2.COLOR_RGB2GRAY)
     return pytesseract.image_to_string(cv2.bilateralFilter(grey, 9, 75, 75), config=OCR_OPTIONS)
 
 
-def pdf_pages(spark: SparkSession, path: str, pages: str = "", to_images: Callable = rasterize, to_text: Callable = read_text) -> DataFrame:
-    """doc_id (the path), page_no, text of each PDF's pages; a file or page that can't be read gives no rows or ''.
+def attempt(function: Callable, *args, instead=None):
+    """function(*args), or `instead` where it fails for the data; a missing library is an error."""
+    try:
+        return function(*args)
+    except ImportError:
+        raise
+    except Exception:
+        return instead
 
-    Files are dealt out one by one, and a page at a time is read.
+
+def pdf_pages(
+    spark: SparkSession, path: str, pages: str = "", count: Callable[[bytes], int] = count_pages, to_image: Callable = rasterize,
+    to_text: Callable = read_text, read: Callable[[str], bytes] = read_file, binary: str | None = None,
+) -> DataFrame:
+    """doc_id (the path), page_no, text of each PDF's pages.
+
+    A file that can't be read gives no rows, a page that can't be read ''. The
+    scan lists names alone; files are counted, then each (file, page) is one
+    row, dealt over all tasks, and a task holds one file and renders one page
+    at a time. Pages are numbered from the start of a range 'a-b', else from 1.
+    ValueError without a path or for a text that is no page range.
     """
+    if not path or not path.strip():
+        raise ValueError("no path of PDF files")
     bounds = page_range(pages)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    begin = bounds[0] if bounds and "-" in pages else 1
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path")
+    more = (binary,) if binary else ()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                n = attempt(lambda name=name: count(read(name)), instead=0)
+                yield pa.RecordBatch.from_pydict({"path": pa.array([name], pa.string()), "pages": pa.array([n], pa.int32())})
+
+    first, last = (F.lit(1), F.col("pages")) if bounds is None else (F.lit(bounds[0]), F.least("pages", F.lit(bounds[1])))
+    known = files.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(counted, "path string, pages int")
+    planned = known.where(last >= first).select("path", F.explode(F.sequence(first, last)).alias("page"))
+    dealt = planned.repartition(spark.sparkContext.defaultParallelism * 4).sortWithinPartitions("path", "page")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, content = None, b""
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    images = to_images(content, bounds)
-                except ImportError:
-                    raise
-                except Exception:
-                    continue
-                first = bounds[0] if bounds and bounds[1] > bounds[0] else 1
-                for i, image in enumerate(images):
-                    try:
-                        text = to_text(image)
-                    except ImportError:
-                        raise
-                    except Exception:
-                        text = ""
-                    yield pd.DataFrame({"doc_id": [name], "page_no": [first + i], "text": [text]})
-
-    return files.select("path", "content").mapInPandas(run, "doc_id string, page_no int, text string")
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != held:
+                    held, content = name, attempt(read, name, instead=b"")
+                text = attempt(lambda page=page: to_text(to_image(content, page), *more), instead="")
+                number = page - (bounds[0] if bounds else 1) + begin
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([name], pa.string()), "page_no": pa.array([number], pa.int32()), "text": pa.array([text], pa.string())})
+
+    return dealt.mapInArrow(texts, "doc_id string, page_no int, text string")
 
 
 def users(spark: SparkSession, url: str, table: str = "user", **options: str) -> DataFrame:

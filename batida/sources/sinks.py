@@ -4,45 +4,57 @@ from __future__ import annotations
 
 import zipfile
 from datetime import datetime
-from io import BytesIO
+from typing import BinaryIO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from batida.model import LAYOUTS
+from batida.model import PREFIX
 from batida.operators.frames import conform
 
 ORDER = ("doc_id", "page_no", "line_no", "cal_date")
+MOST_ROWS = 1_048_575  # of a sheet, as the file format has it, without the header
 
 
 class EmptyResult(Exception):
     """No table was found in any page."""
 
 
+def _hadoop(df: DataFrame, path: str) -> tuple:
+    """The path's file system and the path, of Hadoop."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def write_csv(punches: DataFrame, path: str, single: bool = True) -> None:
-    """The conformed columns in output order, ';'-separated with a header; one part file if single."""
+    """The conformed columns in output order, ';'-separated with a header; one part file if single.
+
+    Whether there are rows is seen from what is written, so nothing is
+    extracted twice; without any the folder goes again and EmptyResult is raised.
+    """
     keys = [c for c in ORDER if c in punches.columns]
-    if punches.isEmpty():
-        raise EmptyResult("no rows")
     ordered = conform(punches.orderBy(*keys) if keys else punches)
     (ordered.coalesce(1) if single else ordered).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    if punches.sparkSession.read.option("sep", ";").option("header", True).schema(", ".join(f"{c} string" for c in ordered.columns)).csv(path).isEmpty():
+        fs, where = _hadoop(punches, path)
+        fs.delete(where, True)
+        raise EmptyResult("no rows")
 
 
 def name_single(df: DataFrame, folder: str, target: str) -> None:
     """Moves the one part file of a written folder to target."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = where.getFileSystem(conf)
+    fs, where = _hadoop(df, folder)
     parts = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")]
     if len(parts) != 1:
         raise ValueError(f"{folder} has {len(parts)} part files")
-    fs.rename(parts[0], jvm.org.apache.hadoop.fs.Path(target))
+    fs.rename(parts[0], _hadoop(df, target)[1])
     fs.delete(where, True)
 
 
-def display_name(layout: str, now: datetime) -> str:
-    return f"{LAYOUTS[layout].prefix}_ponto_extraido_{now:%Y%m%d_%H%M%S}.csv"
+def display_name(now: datetime, prefix: str = PREFIX) -> str:
+    return f"{prefix}_ponto_extraido_{now:%Y%m%d_%H%M%S}.csv"
 
 
 def workbook_name(now: datetime) -> str:
@@ -54,29 +66,37 @@ def write_by_page(df: DataFrame, path: str, page: str = "Pagina") -> None:
     df.write.mode("overwrite").partitionBy(page).option("sep", ";").option("header", True).csv(path)
 
 
-def workbook(df: DataFrame, page: str = "Pagina", most_rows: int = 10_000) -> bytes:
-    """A small spreadsheet file with one sheet per page, in order. More than most_rows rows are an error, not a cut."""
-    rows = df.limit(most_rows + 1).collect()
-    if len(rows) > most_rows:
-        raise ValueError(f"more than {most_rows} rows; use write_by_page")
+def sheets(df: DataFrame, page: str = "Pagina", most_rows: int = MOST_ROWS) -> DataFrame:
+    """page, xml: the sheet of each page, in order, made in Spark; a page of more rows than a sheet can hold is an error."""
     columns = [c for c in df.columns if c != page]
-    sheets: dict = {}
-    for r in rows:
-        sheets.setdefault(r[page], []).append([r[c] for c in columns])
-    cell = lambda v: f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>'
-    line = lambda vs: "<row>" + "".join(map(cell, vs)) + "</row>"
+    plain = lambda v: F.replace(F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cell = lambda v: F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), plain(v), F.lit("</t></is></c>"))
+    line = lambda vs: F.concat(F.lit("<row>"), *[cell(v) for v in vs], F.lit("</row>"))
+    body = line([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+    rows = df.select(F.col(f"`{page}`").alias("page"), F.monotonically_increasing_id().alias("at"), body.alias("row"))
+    counted = rows.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("at", "row"))).alias("all"))
+    full = F.when(F.col("n") > most_rows, F.raise_error(F.lit(f"a sheet has more than {most_rows} rows"))).otherwise(F.transform("all", lambda x: x["row"]))
+    return counted.select("page", F.concat(line([F.lit(c) for c in columns]), F.array_join(full, "")).alias("xml")).orderBy("page")
+
+
+def workbook(df: DataFrame, file: BinaryIO, page: str = "Pagina", most_rows: int = MOST_ROWS) -> int:
+    """Writes a spreadsheet file with one sheet per page, in order; returns the number of sheets.
+
+    Sheets come to the driver one at a time, each within the format's bound.
+    """
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    out = BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        numbers = range(1, len(sheets) + 1)
-        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    names: list[str] = []
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+        for row in sheets(df, page, most_rows).toLocalIterator():
+            names.append(escape(str(row["page"])))
+            z.writestr(f"xl/worksheets/sheet{len(names)}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{row["xml"]}</sheetData></worksheet>')
+        numbers = range(1, len(names) + 1)
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in numbers)
         z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
         z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="Pagina_{escape(str(p))}" sheetId="{k}" r:id="r{k}"/>' for k, p in zip(numbers, sorted(sheets), strict=True)) + "</sheets></workbook>")
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="Pagina_{name}" sheetId="{k}" r:id="r{k}"/>' for k, name in zip(numbers, names, strict=True)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in numbers) + "</Relationships>")
-        for k, p in zip(numbers, sorted(sheets), strict=True):
-            z.writestr(f"xl/worksheets/sheet{k}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>' + line(columns) + "".join(map(line, sheets[p])) + "</sheetData></worksheet>")
-    return out.getvalue()
+    return len(names)

@@ -15,8 +15,9 @@ def synthetic_rows(spark: SparkSession, pages: str = "1-5", seed: int = 42) -> D
     """Five days a page for up to five pages; the numbers follow from the seed."""
     bounds = page_range(pages)
     count = min(bounds[1] - bounds[0] + 1, MOST_PAGES) if bounds and "-" in pages else 1
-    draw = lambda k, low, high: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(high - low + 1)) + low).cast("string")
-    chance = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(1000)) / 1000
+    number = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{k}"), F.col("id").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+    draw = lambda k, low, high: (number(k) % (high - low + 1) + low).cast("string")
+    chance = lambda k: number(k) % 1000 / 1000
     base = spark.range(count * DAYS)
     day = F.lpad((F.col("id") % DAYS + 1).cast("string"), 2, "0")
     return base.select(

@@ -165,39 +165,57 @@ def test_csv(spark, tmp_path):
     assert text == "Dia;Dia_Semana;Entrada1;Saida1;Entrada2;Saida2\n04/11/2021;Qui;07:00;11:00;12:00;17:00\n04/11/2021;Qui;24:00;00:30;0;0\n"
     with pytest.raises(sinks.EmptyResult):
         sinks.write_csv(rows.where("false"), f"{tmp_path}/none")
-    assert sinks.display_name("B", datetime(2024, 1, 2, 3, 4, 5)) == "BRF_ponto_extraido_20240102_030405.csv"
+    assert not (tmp_path / "none").exists()
+    assert sinks.display_name(datetime(2024, 1, 2, 3, 4, 5), "X") == "X_ponto_extraido_20240102_030405.csv"
 
 
 def test_synthetic_and_workbook(spark, tmp_path):
     rows = synthetic_rows(spark, "1-9")
     assert rows.count() == 25 and synthetic_rows(spark, "").count() == 5
     assert rows.where("not Marcacao_Ponto rlike '^[5-7]:5[0-9] 11:30 12:30 1[7-9]:5[0-9]$'").count() == 0
-    assert sorted(r[0] for r in frames.distinct_pages(rows).collect()) == [1, 2, 3, 4, 5]
-    with zipfile.ZipFile(io.BytesIO(sinks.workbook(rows))) as z:
+    assert [r[0] for r in frames.distinct_pages(rows).collect()] == [1, 2, 3, 4, 5]
+    seen = spark.createDataFrame([(3, 1), (1, 2), (3, 3), (2, 4)], "Pagina int, at int")
+    assert [r[0] for r in frames.distinct_pages(seen, order="at").collect()] == [3, 1, 2]
+    book = io.BytesIO()
+    assert sinks.workbook(rows, book) == 5
+    with zipfile.ZipFile(book) as z:
         assert sum(n.startswith("xl/worksheets") for n in z.namelist()) == 5
         assert "Pagina" not in z.read("xl/worksheets/sheet1.xml").decode()
     sinks.write_by_page(rows, f"{tmp_path}/pages")
     assert len(list((tmp_path / "pages").glob("Pagina=*"))) == 5
-    with pytest.raises(ValueError):
-        sinks.workbook(rows, most_rows=3)
+    with pytest.raises(Exception, match="more than 3 rows"):
+        sinks.workbook(rows, io.BytesIO(), most_rows=3)
 
 
 def test_pdf_adapter(spark, tmp_path):
-    (tmp_path / "a.pdf").write_bytes(b"one|two")
+    (tmp_path / "a.pdf").write_bytes(b"one|two|three")
     (tmp_path / "b.pdf").write_bytes(b"bad")
 
-    def images(content, bounds):
+    def count(content):
         if content == b"bad":
             raise OSError("unreadable")
-        return content.split(b"|")
+        return len(content.split(b"|"))
 
-    def text(image):
+    def image(content, page):
+        return content.split(b"|")[page - 1]
+
+    def text(image, binary=""):
         if image == b"two":
             raise RuntimeError("no text")
-        return image.decode()
+        return image.decode() + (binary or "")
+
+    read = lambda pages, **more: [(r.page_no, r.text) for r in P.pdf_pages(spark, str(tmp_path), pages, count, image, text, **more).orderBy("page_no").collect()]
+    assert read("") == [(1, "one"), (2, ""), (3, "three")]
+    assert read("2-9") == [(2, ""), (3, "three")] and read("3-3") == [(3, "three")]
+    assert read("3") == [(1, "three")]  # a single page is numbered 1
+    assert read("4-5") == [] and read("1-1", binary="!") == [(1, "one!")]
+    for path, pages in (("", ""), (None, ""), (str(tmp_path), "x")):
+        with pytest.raises(ValueError):
+            P.pdf_pages(spark, path, pages)
+
 
-    got = P.pdf_pages(spark, str(tmp_path), "4-5", images, text).orderBy("page_no").collect()
-    assert [(r.page_no, r.text) for r in got] == [(4, "one"), (5, "")]
+def test_long_page_numbers_are_no_range(spark):
+    assert spark.range(1).select(*S.page_bounds(F.lit("99999999999"))).first()[:] == (None, None)
 
 
 def test_stream(spark, tmp_path):
@@ -216,6 +234,16 @@ def test_task_records(spark, tmp_path):
     assert (bad["status"], bad["progress"]) == ("error", 0) and "layout" in bad["error"]
 
 
+def test_tasks_are_looked_up(spark, tmp_path):
+    runs = tasks.Tasks()
+    begun = runs.submit(made(spark, A), "A", str(tmp_path))
+    assert begun["status"] == "processing" and runs.poll(begun["task_id"])["status"] in ("processing", "completed")
+    done = runs.wait(begun["task_id"], 120)
+    assert (done["status"], done["progress"], done["file_path"]) == ("completed", 100, f"{tmp_path}/{begun['task_id']}.csv")
+    with pytest.raises(KeyError):
+        runs.poll("unknown")
+
+
 def test_user_table(spark):
     P.create_users(spark, "batida_users")
     P.create_users(spark, "batida_users")

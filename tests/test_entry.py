@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import sys
 
 import pytest
 
@@ -55,3 +56,17 @@ def test_extraction_has_no_shuffle(spark):
     for layout in "AB":
         plan = extract(pages, layout)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_entry_without_llm(tmp_path):
+    """In a copy without the llm folders the entry imports and lists the engine's own queries, with the pipeline's file and without."""
+    import shutil
+    import subprocess
+
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    said = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'layout_a_extract' in q and 'pipeline' not in q"
+    for gone in ((), ("corpus_pipeline.py",)):
+        for name in gone:
+            (tmp_path / "copy" / name).unlink(missing_ok=True)
+        subprocess.run([sys.executable, "-c", said], cwd=tmp_path / "copy", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})

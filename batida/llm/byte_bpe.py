@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from batida.llm.common import add_from_texts
 
-CACHE = 200_000  # pre-tokens that one task remembers
+CACHE = 100_000  # pre-tokens that one task remembers
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,9 +83,12 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.chars = byte_characters()
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # the ids of a pre-token, four bytes each
+
+    def encode(self, text: str):
+        """The ids of a text, as an array."""
+        import numpy as np
 
-    def encode(self, text: str) -> list[int]:
         parts, known = self.split(text), self.known
         new = list({p for p in parts if p not in known})
         if new:
@@ -94,34 +97,38 @@ class Codec:
                 new = list(set(parts))
             mapped = ["".join(map(self.chars.__getitem__, p.encode())) for p in new]
             for part, ids in zip(new, self.model.encode(mapped, num_threads=1), strict=True):
-                known[part] = [i - 1 for i in ids]
-        out: list[int] = []
-        for part in parts:
-            out += known[part]
-        return out
+                known[part] = (np.array(ids, np.int32) - 1).astype(np.int32).tobytes()
+        return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The columns of docs with n_tokens, ids and decoded (bytes), in the ranks of the file at path.
+def encode_documents(docs: DataFrame, path: str, pattern: str, decoded: bool = True) -> DataFrame:
+    """The columns of docs with n_tokens, ids and decoded (bytes, if asked for), in the ranks of the file at path.
 
     A null text counts as empty: no ids, no bytes. Rows with equal ids are
-    encoded one by one; columns that have the names of the new ones give way;
-    an empty table gives no rows.
+    encoded one by one, and there are no ties; columns that have the names of
+    the new ones give way; an empty table gives no rows. A task holds about
+    SLICE bytes of text and their ids, or one longer text and its ids.
     """
 
     def make():
+        import numpy as np
+
         codec = Codec(read_ranks(path), pattern)
 
         def work(texts: list) -> list:
             ids = [codec.encode(t or "") for t in texts]
-            return [[len(x) for x in ids], ids, [codec.decode(x) for x in ids]]
+            sizes = [len(x) for x in ids]
+            flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
+            return [sizes, lists] + ([[codec.decode(x) for x in ids]] if decoded else [])
 
         return work
 
-    return add_from_texts(docs, {"n_tokens": "long", "ids": "array<int>", "decoded": "binary"}, make)
+    added = {"n_tokens": "long", "ids": "array<int>"} | ({"decoded": "binary"} if decoded else {})
+    return add_from_texts(docs, added, make)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -135,7 +142,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for t in texts:
                 ids = codec.encode(t or "")
                 n.append(len(ids))
-                spoken.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                spoken.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
                 back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             return [n, spoken, back]
 

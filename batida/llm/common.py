@@ -8,11 +8,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: bytes of text that one block of documents holds on average.
 BLOCK_BYTES = 2 << 20
+#: bytes of text that a task works on at a time.
+SLICE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,37 +23,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it."""
+    """The folder that all executors share, as the session names it; only a local session, as in tests, may do without."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
-    if not path:  # a local session, as in tests
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="batida-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended already; nothing depends on the files
+        return
+
+
+def materialize(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    Cuts lineage; the rows outlive any executor. The files go when the
-    driver ends.
+    Cuts lineage; the rows outlive any executor. The files go when the driver
+    ends, or once a table that is written instead of this one is there.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/batida-{uuid.uuid4().hex}"
     df.write.parquet(path)
-
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended already; nothing depends on it
-            return
-
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._batida_path = path
+    if instead_of is not None:
+        remove(spark, instead_of._batida_path)
+    return out
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -63,14 +71,28 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(begin, rows) of runs of about SLICE bytes of text, whole texts each."""
+    begin, held = 0, 0
+    for i, size in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        held += size
+        if held >= SLICE:
+            yield begin, i + 1 - begin
+            begin, held = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts) - begin
+
+
 def add_from_texts(docs: DataFrame, added: dict[str, str], make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """docs with columns computed from its texts in Arrow batches, without a join.
 
     added: name -> DDL type. make() is called once per task and gives the
-    function from a list of texts (null: None) to one list per added column.
-    A column of docs with the name of an added one gives way to it.
+    function from a list of texts (null: None) to one list or array per added
+    column; it gets runs of about SLICE bytes of text, whole texts each. A
+    column of docs with the name of an added one, in any case, gives way to it.
     """
-    own = [c for c in docs.columns if c not in added]
+    taken = {c.lower() for c in added}
+    own = [c for c in docs.columns if c.lower() not in taken]
     at = own.index("text")
     kinds = dict(docs.dtypes)
     names = [f"c{i}" for i in range(len(own))] + [f"x{i}" for i in range(len(added))]
@@ -85,10 +107,12 @@ def add_from_texts(docs: DataFrame, added: dict[str, str], make: Callable[[], Ca
         work = None
         for batch in batches:
             work = work or make()
-            new = work(batch.column(at).to_pylist())
-            fields = [schema.field(len(own) + k) for k in range(len(new))]
-            arrays = [batch.column(k) for k in range(len(own))] + [pa.array(x, f.type) for x, f in zip(new, fields, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            for begin, n in runs(batch.column(at)):
+                part = batch.slice(begin, n)
+                new = work(part.column(at).to_pylist())
+                fields = [schema.field(len(own) + k) for k in range(len(new))]
+                arrays = [part.column(k) for k in range(len(own))] + [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(new, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     out = docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, ddl)
     return out.toDF(*own, *added)

@@ -415,6 +415,70 @@ def test_secrets_beside_base_spans(spark):
     assert {x.doc_id: x.text for x in secrets.redact(docs).collect()} == {1: "see <SECRET> now", 2: "see <SECRET> now", 3: "<SECRET>"}
 
 
+def spans_by_hand(text):
+    """All spans of a text, by the rules as the docstrings give them."""
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    base = list(found)
+    for m in re.finditer("[A-Za-z0-9+/_=.-]{20,}", text):
+        t = m[0]
+        if re.fullmatch("[^0-9]+", t) or re.fullmatch("[0-9._/+=-]+", t) or re.fullmatch("[A-Za-z]+[._/-]?[0-9]{1,4}", t) or re.fullmatch("(?:[A-Za-z0-9]{1,12}[._/-])+[A-Za-z0-9]{1,12}", t):
+            continue
+        least = 2.9 if re.fullmatch("[0-9a-fA-F]+", t) else 3.3 if re.fullmatch("[A-Z2-7]+=*", t) else 3.7
+        entropy = lambda w: -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(w).values())
+        hot = [k for k in range(len(t) - 19) if entropy(t[k : k + 20]) >= least - 1e-9]
+        if hot:
+            a, e = m.start() + hot[0], m.start() + hot[-1] + 20
+            if not any(x <= a and e <= y for x, _, y in base):
+                found.append((a, 3, e))
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in sorted(found))
+
+
+def secret_texts(seed, n=150):
+    r = random.Random(seed)
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    base64_, hexed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"
+    part = lambda: r.choice([draw(base64_, r.randint(1, 60)), draw(hexed, r.randint(10, 30)), draw("ABCDEFGH234567", 30), "AKIA" + draw("ABC1", 16), "token = ", "secret:", " ", " ü ", "🎉", "/", "aaaaaaaaaaaaaaaaaaaaaaaa1", "v1.2-3/", "="])
+    return ["".join(part() for _ in range(r.randint(0, 12))) for _ in range(n)]
+
+
+def test_secret_spans_by_hand(spark, monkeypatch):
+    """All spans and the redacted text against the rules in plain Python, with small groups and pieces too."""
+    texts = [*secret_texts(1), None, ""]
+    docs = table(spark, list(enumerate(texts)) + [(0, texts[0])])
+    for group, piece in ((256, 1024), (2, 3)):
+        monkeypatch.setattr(secrets, "GROUP", group)
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        got = collections.Counter((x.doc_id, x.spans) for x in secrets.scan_digests(docs).collect())
+        assert got == collections.Counter((i, spans_by_hand(t)) for i, t in [*enumerate(texts), (0, texts[0])])
+        for x in secrets.redact(docs).collect():
+            t, at, want = texts[x.doc_id], 0, []
+            for a, e in sorted((int(a), int(e)) for p in spans_by_hand(t).split(",") if p for _, a, e in [p.split(":")]):
+                if a >= at or not want:
+                    want += [t[at:a], "<SECRET>"]
+                at = max(at, e)
+            assert x.text == (t if not want else "".join(want) + t[at:])
+
+
+def test_secrets_of_very_long_texts(spark):
+    """A token of a megabyte, a path of many parts, and 100,000 matches take seconds."""
+    import time
+
+    r = random.Random(2)
+    token = "".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(1_000_000))
+    many = " ".join(f"{r.getrandbits(64):016x}" for _ in range(100_000))
+    path = "/".join(["ab1", "cd"] * 100_000)
+    docs = table(spark, [(1, token), (2, many), (3, path)])
+    began = time.time()
+    by = {x.doc_id: x for x in secrets.scan_digests(docs).collect()}
+    clean = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    assert time.time() - began < 100
+    assert by[1].spans.split(":")[0] in ("entropy", "hex") and by[2].n_hex == 100_000 and by[3].spans == ""
+    assert clean[2].count("<SECRET>") == 100_000 and clean[3] == path and len(clean[1]) < 1000
+
+
 def test_window_entropy(spark):
     """The incremental sum gives the entropy of each window."""
     r = random.Random(4)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from batida.functions.text import literal
 from batida.model import DATE, DELIMITERS_A, DOTTED, MISSING, PREFIX, SATURDAYS, SPECIAL_A, TIME, WEEKDAYS, WEEKDAYS_FROM_SUNDAY
 
 
@@ -39,11 +37,17 @@ def after_date(line: Column, date: Column, weekday: Column) -> Column:
 
 
 def before_delimiter(tail: Column, tokens=DELIMITERS_A) -> Column:
-    """Cut before the first token, in the list's order, that the upper-cased text contains."""
-    place = lambda up, k: F.when(F.contains(up, F.lit(k)), F.position(F.lit(k), up))
-    cut = lambda up: F.coalesce(*[F.when(place(up, k) <= F.length(tail), place(up, k)) for k in tokens])
-    at = _once(F.upper(tail), cut)
-    return F.when(at.isNull(), tail).otherwise(F.substring(tail, F.lit(1), at - 1))
+    """Cut before the first token, in the list's order, that the upper-cased text contains.
+
+    One pass looks at each place for the tokens that begin with its letter,
+    in the list's order; the least in that order over all places is the first.
+    """
+    letters = dict.fromkeys(k[0] for k in tokens)
+    branches = [literal(x) + "(?:" + "|".join(literal(k[1:]) for k in tokens if k[0] == x) + ")" for x in letters]
+    found = lambda up: F.array_distinct(F.regexp_extract_all(up, F.lit("(?=(" + "|".join(branches) + "))"), F.lit(1)))
+    seat = lambda up: F.transform(found(up), lambda k: F.struct(F.array_position(_list(tokens), k).alias("order"), F.position(k, up).alias("at")))
+    at = _once(F.upper(tail), lambda up: F.array_min(F.filter(seat(up), lambda s: s["at"] <= F.length(tail)))["at"])
+    return F.substring(tail, F.lit(1), F.coalesce(at - 1, F.length(tail)))
 
 
 def times(text: Column) -> Column:
@@ -62,7 +66,7 @@ def normal_times(found: Column) -> Column:
 
 
 def is_special(line: Column, words=SPECIAL_A) -> Column:
-    return F.exists(F.array(F.upper(line)), lambda up: reduce(or_, [F.contains(up, F.lit(w)) for w in words]))
+    return F.upper(line).rlike("|".join(map(literal, words)))
 
 
 def slots(found: Column) -> list[Column]:

@@ -47,7 +47,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids of every document."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN).select("doc_id", "lang", "source", "n_tokens", "ids")
+    return byte_bpe.encode_documents(docs.select("doc_id", "text", "lang", "source"), path, public_tokenizers.PATTERN, decoded=False).select("doc_id", "lang", "source", "n_tokens", "ids")
 
 
 STAGES = [

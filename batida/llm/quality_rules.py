@@ -3,9 +3,11 @@
 Ratios of each text are summarised per language and source in a mergeable
 quantile sketch: counts per logarithmic bin, so that sketches merge by
 adding counts and every quantile has a bounded relative error. A text is
-dropped where a ratio lies beyond a fence built from the quartiles of its
-own language and source; small groups fall back to their language, then to
-the whole corpus. All sketch work is DataFrame aggregation.
+dropped where a ratio lies beyond a fence that the quantiles of its language
+and source set. The fence of a group counts by the group's size against that
+of its language, and the language's against that of the whole corpus, so it
+follows the texts there are without a step. All sketch work is DataFrame
+aggregation.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ SYMBOLS = "#*$%&|<>"
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: ratio -> the least distance above the median at which a text can be dropped.
-FEATURES = {"symbol_ratio": 0.05, "mark_ratio": 0.12, "capital_ratio": 0.25, "dup_line_ratio": 0.35, "repeat_ratio": 0.35}
+FEATURES = ("symbol_ratio", "mark_ratio", "capital_ratio", "dup_line_ratio", "repeat_ratio")
 GAMMA = 1.02  # bins grow by this factor: quantiles are within 2 %
-FENCE = 4.0  # interquartile ranges above the upper quartile
-LEAST_GROUP = 200  # texts a group needs for thresholds of its own
+FENCE = 4.0  # times that the quartiles' factor is applied to the upper quartile
+BEYOND = 3.0  # times the 99th percentile, of a ratio that is 0 in a quarter of the texts or more
+GUARD = 0.02  # above the median, where the quantiles tie
+PRIOR = 200  # texts that a language counts for against one of its groups, and the corpus against a language
 ZERO_BIN = -1_000_000
 
 STATS = "doc_id {id}, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_capitals long"
@@ -111,41 +114,48 @@ def sketch(ratios: DataFrame) -> DataFrame:
 
 
 def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, feature, size, q1, q2, q3 from the sketches, merged by keys."""
+    """keys, feature, size, q1, q2, q3 and q99 from the sketches, merged by keys."""
     merged = sketches.groupBy(*keys, "feature", "bin").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "feature")
     ranked = merged.withColumns({"upto": F.sum("n").over(by.orderBy("bin")), "size": F.sum("n").over(by)})
     value = F.when(F.col("bin") == ZERO_BIN, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin")))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("size"), value))
-    return ranked.groupBy(*keys, "feature").agg(F.max("size").alias("size"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    return ranked.groupBy(*keys, "feature").agg(F.max("size").alias("size"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), at(0.99).alias("q99"))
+
+
+def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, feature, size and the fence that a group's own quantiles set; ratios are 1 at most."""
+    scaled = F.col("q3") * F.pow(F.col("q3") / F.col("q1"), F.lit(FENCE))
+    fence = F.greatest(F.when(F.col("q1") > 0, scaled).otherwise(BEYOND * F.col("q99")), F.col("q2") + GUARD)
+    return quartiles(sketches, keys).select(*keys, "feature", "size", F.least(fence, F.lit(1.0)).alias("fence"))
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
     """lang, source and one upper fence per ratio."""
-    own = quartiles(sketches, ["lang", "source"])
-    mid = quartiles(sketches, ["lang"])
-    top = quartiles(sketches, [])
-    names = ("size", "q1", "q2", "q3")
-    mid = mid.select(F.col("lang").alias("l2"), F.col("feature").alias("f2"), *[F.col(c).alias(c + "_lang") for c in names])
-    top = top.select(F.col("feature").alias("f3"), *[F.col(c).alias(c + "_all") for c in names])
-    joined = own.join(mid, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("feature") == F.col("f2")), "left").join(top, F.col("feature") == F.col("f3"), "left")
-    pick = lambda c: F.when(F.col("size") >= LEAST_GROUP, F.col(c)).when(F.col("size_lang") >= LEAST_GROUP, F.col(c + "_lang")).otherwise(F.col(c + "_all"))
-    least = F.create_map(*[F.lit(x) for kv in FEATURES.items() for x in kv])[F.col("feature")]
-    fenced = joined.select("lang", "source", "feature", F.greatest(pick("q3") + FENCE * (pick("q3") - pick("q1")), pick("q2") + least).alias("fence"))
+    top = fences(sketches, []).select(F.col("feature").alias("f3"), F.col("fence").alias("fence_all"))
+    mid = fences(sketches, ["lang"]).select(F.col("lang").alias("l2"), F.col("feature").alias("f2"), F.col("size").alias("size_lang"), F.col("fence").alias("fence_lang"))
+    own = fences(sketches, ["lang", "source"])
+    joined = own.join(mid, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("feature") == F.col("f2"))).join(top, F.col("feature") == F.col("f3"))
+    blend = lambda size, own, under: (size * own + PRIOR * under) / (size + PRIOR)
+    under = blend(F.col("size_lang"), F.col("fence_lang"), F.col("fence_all"))
+    fenced = joined.select("lang", "source", "feature", blend(F.col("size"), F.col("fence"), under).alias("fence"))
     return fenced.groupBy("lang", "source").agg(*[F.max(F.when(F.col("feature") == f, F.col("fence"))).alias("max_" + f) for f in FEATURES])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, base_failed, kept and the ratios with their fences, one row per row of docs.
 
-    A null text counts as empty and fails the base rule. Null languages and
-    sources form groups of their own. Repeated rows are judged alike; other
-    columns are ignored; an empty table gives no rows.
+    A null text counts as empty and fails the base rule; the sketches are of
+    the texts that pass it. Null languages and
+    sources form groups of their own. Repeated rows are judged alike and count
+    each; a ratio equal to its fence passes; other columns are ignored; an
+    empty table gives no rows. A text is measured in whole, with memory of
+    about a hundred times its own size.
     """
     ratios = with_ratios(materialize(text_stats(docs)))
-    fences = thresholds(sketch(ratios)).withColumnsRenamed({"lang": "lang_of", "source": "source_of"})
-    joined = ratios.join(fences, F.col("lang").eqNullSafe(F.col("lang_of")) & F.col("source").eqNullSafe(F.col("source_of")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    limits = thresholds(sketch(ratios.where(~failed))).withColumnsRenamed({"lang": "lang_of", "source": "source_of"})
+    joined = ratios.join(limits, F.col("lang").eqNullSafe(F.col("lang_of")) & F.col("source").eqNullSafe(F.col("source_of")), "left")
     fits = F.lit(True)
     for f in FEATURES:
         fits = fits & (F.col(f) <= F.col("max_" + f))

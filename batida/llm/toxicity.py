@@ -1,32 +1,34 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols of a small alphabet (insult, violent act, person,
-negation, speech report, intent, quotation mark, clause end). Five
-transducers rewrite the symbols of a text: reported speech, negation,
-targets, insults and threats; they are composed into one machine before any
-text is read. Each matched clause gives one event; a logistic model over
-the event counts, drawn towards fixed prior weights, gives the score.
-Terms that the labels show beyond the fixed lists join the insult lexicon.
+negation, speech report, intent, quotation mark, clause end). Transducers for
+reported speech, negation, targets and threats rewrite the symbols, and a last
+one rates each clause by what is left in it; they are composed into one
+machine before any text is read. So a word counts as its clause has it:
+outright or aimed at somebody, repeated, denied, or told of others. A logistic
+model over the clauses of each kind, drawn towards fixed prior weights, gives
+the score; one clause with one bare insult does not reach 0.5 by the prior.
+Terms that the labels show beyond the fixed lists are insults like the others.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batida.llm.common import add_from_texts, held_out, materialize
+from batida.llm.common import add_from_texts, held_out, materialize, runs
 
 FOLDS = 5
 SAMPLE = 20_000  # labelled texts, about, that terms are learned from
-LEAST_CONTEXTS = 12  # different neighbourhoods a learned term must be seen in
-LEAST_SHARE = 0.75  # of them in toxic texts
+LEAST_SHARE = 0.75  # of a term's neighbourhoods that are in toxic texts
 STEMS = range(4, 9)  # lengths of word beginnings that can be terms
-MOST_TERMS = 400
-MOST_SUSPECTS = 20_000  # words, so their broadcast has a bound
-CAP = 3  # events of one kind that count
+KNOWN_WORDS = 100_000  # that a task remembers
 
 # The lexicons.
 INSULTS = (
@@ -40,14 +42,13 @@ NEGATIONS = "aren't didn't doesn't don't isn't jamais kein keine never nicht nob
 REPORTS = "afirmó alleged behauptete called claimed dijo dit gesagt prétend quoted reported said sagte says wrote écrit".split()
 INTENTS = "gonna going werde werden will would voy vais must should shall soon".split()
 
-# Symbols. Small letters are plain input, capitals are events.
-OTHER, INSULT, LEARNED, VIOLENCE, PERSON, NEGATION, REPORT, INTENT, QUOTE, END = "o i l v p n r w q .".split()
-AIMED, PLAIN, SEEN, DENIED, TOLD, THREAT, ACT, TOLD_ACT = "A I L D T H V W".split()
-EVENTS = (AIMED, PLAIN, SEEN, DENIED, TOLD, THREAT, ACT, TOLD_ACT)
-#: Prior weights of the events, and of a text without any (the bias).
-PRIOR = {AIMED: 4.0, PLAIN: 3.0, SEEN: 2.0, DENIED: 0.5, TOLD: 1.0, THREAT: 3.0, ACT: 0.3, TOLD_ACT: 0.0}
+# Symbols. Small letters are plain input, capitals are what is made of them.
+OTHER, INSULT, VIOLENCE, PERSON, NEGATION, REPORT, INTENT, QUOTE, END = "o i v p n r w q .".split()
+AIMED, PLAIN, REPEATED, DENIED, TOLD, THREAT, ACT = "A I R D T H V".split()
+EVENTS = (AIMED, PLAIN, REPEATED, DENIED, TOLD, THREAT, ACT)
+#: Prior weights of the clauses' kinds, and of a text without any (the bias).
+PRIOR = {AIMED: 4.0, PLAIN: 2.0, REPEATED: 3.5, DENIED: 0.5, TOLD: 0.7, THREAT: 3.5, ACT: 0.3}
 BIAS = -3.0
-ANY = 3.0  # prior weight of a text's having any insult of the fixed lists that is said outright
 RIDGE = 2.0
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]|[\"“”„«»]")
@@ -55,14 +56,18 @@ TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]|[\"“”„«»]")
 
 @dataclass(frozen=True)
 class Transducer:
-    """arcs: (state, symbol) -> (next state, output). State 0 is the start; other symbols pass and lead to fall[state]."""
+    """arcs: (state, symbol) -> (next state, output). State 0 is the start; other symbols pass and lead to fall[state].
+
+    A clause's end leads to the start and passes, or gives ends[state].
+    """
 
     arcs: dict[tuple[int, str], tuple[int, str]]
     fall: tuple[int, ...]
+    ends: tuple[str, ...] = ()
 
     def step(self, state: int, symbol: str) -> tuple[int, str]:
         if symbol == END:
-            return 0, END
+            return 0, self.ends[state] if self.ends else END
         return self.arcs.get((state, symbol), (self.fall[state], symbol))
 
 
@@ -76,23 +81,33 @@ def countdown(trigger: str, reach: int, rewrite: dict[str, str]) -> Transducer:
 def reported() -> Transducer:
     """After a verb of speech up to the clause's end, or between quotation marks."""
     arcs = {(0, REPORT): (1, REPORT), (0, QUOTE): (2, QUOTE), (1, QUOTE): (2, QUOTE), (2, QUOTE): (0, QUOTE)}
-    arcs |= {(s, a): (s, b) for s in (1, 2) for a, b in ((INSULT, TOLD), (LEARNED, TOLD), (VIOLENCE, TOLD_ACT))}
+    arcs |= {(s, a): (s, b) for s in (1, 2) for a, b in ((INSULT, TOLD), (VIOLENCE, OTHER))}
     return Transducer(arcs, (0, 1, 2))
 
 
+def rated() -> Transducer:
+    """One event per clause, at its end: the gravest thing in it; two outright insults make a repeated one."""
+    ranks = (OTHER, ACT, TOLD, DENIED, PLAIN, REPEATED, AIMED, THREAT)  # by gravity; the state is the index
+    arcs = {(s, x): (max(s, k), OTHER) for s in range(len(ranks)) for k, x in enumerate(ranks) if x in (TOLD, DENIED, AIMED, THREAT)}
+    arcs |= {(s, VIOLENCE): (max(s, 1), OTHER) for s in range(len(ranks))}
+    plain = ranks.index(PLAIN)
+    arcs |= {(s, INSULT): (max(s, plain) if s != plain else plain + 1, OTHER) for s in range(len(ranks))}
+    return Transducer(arcs, tuple(range(len(ranks))), ranks)
+
+
 def grammar() -> list[Transducer]:
     return [
         reported(),
-        countdown(NEGATION, 3, {INSULT: DENIED, LEARNED: DENIED, VIOLENCE: OTHER}),
+        countdown(NEGATION, 3, {INSULT: DENIED, VIOLENCE: OTHER}),
         countdown(PERSON, 4, {INSULT: AIMED}),
         countdown(INTENT, 3, {VIOLENCE: THREAT}),
-        Transducer({(0, INSULT): (0, PLAIN), (0, LEARNED): (0, SEEN), (0, VIOLENCE): (0, ACT)}, (0,)),
+        rated(),
     ]
 
 
 def compose(parts: list[Transducer]) -> tuple[dict[tuple[int, str], tuple[int, str]], int]:
     """One machine whose arcs feed each part's output to the next; its reachable states are numbered from 0."""
-    symbols = (OTHER, INSULT, LEARNED, VIOLENCE, PERSON, NEGATION, REPORT, INTENT, QUOTE, END)
+    symbols = (OTHER, INSULT, VIOLENCE, PERSON, NEGATION, REPORT, INTENT, QUOTE, END)
     start = (0,) * len(parts)
     number, todo, arcs = {start: 0}, [start], {}
     while todo:
@@ -115,7 +130,7 @@ class Lexicon(dict):
 
     def __init__(self, learned: list[str] = ()):
         self.stems = {t[:-1] for t in learned if t.endswith("*")}
-        self.fixed = {t: LEARNED for t in learned if not t.endswith("*")} | {w: INSULT for w in INSULTS}
+        self.fixed = {t: INSULT for t in (*learned, *INSULTS) if not t.endswith("*")}
         for words, symbol in ((VIOLENT, VIOLENCE), (PERSONS, PERSON), (NEGATIONS, NEGATION), (REPORTS, REPORT), (INTENTS, INTENT)):
             self.fixed |= {w: symbol for w in words}
         self.fixed |= {c: END for c in ".!?;:\n"} | {c: QUOTE for c in "\"“”„«»"}
@@ -123,20 +138,20 @@ class Lexicon(dict):
     def __missing__(self, token: str) -> str:
         symbol = self.fixed.get(token)
         if symbol is None:
-            symbol = LEARNED if any(token[:k] in self.stems for k in STEMS if k < len(token)) else OTHER
-        if len(self) > 500_000:
+            symbol = INSULT if any(token[:k] in self.stems for k in STEMS if k < len(token)) else OTHER
+        if len(self) > KNOWN_WORDS:
             self.clear()
         self[token] = symbol
         return symbol
 
 
 def events(text: str, symbols: Lexicon, arcs) -> dict[str, int]:
-    """Events of one text, in whole: kind -> count."""
+    """Events of one text, in whole: kind -> number of clauses."""
     tape = [symbols[t] for t in TOKEN.findall(text.lower())]
-    if INSULT not in tape and LEARNED not in tape and VIOLENCE not in tape:
+    if INSULT not in tape and VIOLENCE not in tape:
         return {}
     state, found = 0, {}
-    for symbol in tape:
+    for symbol in (*tape, END):
         state, out = arcs[state, symbol]
         if out.isupper():
             found[out] = found.get(out, 0) + 1
@@ -144,8 +159,7 @@ def events(text: str, symbols: Lexicon, arcs) -> dict[str, int]:
 
 
 def event_counts(docs: DataFrame, learned: list[str]) -> DataFrame:
-    """docs with one capped count per event kind."""
-    kinds = list(EVENTS)
+    """doc_id and the number of clauses of each kind, e_<kind>, for every row."""
     arcs, _ = compose(grammar())
 
     def make():
@@ -153,11 +167,11 @@ def event_counts(docs: DataFrame, learned: list[str]) -> DataFrame:
 
         def work(texts: list) -> list:
             found = [events(t or "", symbols, arcs) for t in texts]
-            return [[min(CAP, f.get(k, 0)) for f in found] for k in kinds]
+            return [[f.get(k, 0) for f in found] for k in EVENTS]
 
         return work
 
-    return add_from_texts(docs, {f"e_{k}": "int" for k in kinds}, make)
+    return add_from_texts(docs.select("doc_id", "text"), {f"e_{k}": "int" for k in EVENTS}, make).drop("text")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -169,19 +183,24 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def learn_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
     """Words seen almost only in toxic texts, in many different neighbourhoods.
 
-    Learned from about SAMPLE labelled texts, picked by a hash of doc_id, so
-    the labels' side of the join has a bound and is broadcast.
+    Learned from about SAMPLE labelled texts, picked by a hash of doc_id; that
+    bounds the labels' side of the join, which is broadcast, and the terms. A
+    term is asked to be in more texts, and in 2.4 times as many neighbourhoods,
+    the more toxic texts there are: with them grows the number of words that
+    are in toxic texts alone by chance.
     """
     train = training_labels(labels)
     total = train.count()
     picked = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, total))))
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+    toxic = sample.where("toxic = 1").count()
+    least = max(3, round(math.log2(max(1, toxic))) - 3)
     words = F.expr(r"regexp_extract_all(lower(text), '[\\p{L}]+', 0)")
     each = sample.select("doc_id", "toxic", words.alias("w")).where(F.size("w") > 0).select("doc_id", "toxic", "w", F.posexplode("w").alias("k", "word"))
     # counts come first, so that neighbourhoods are gathered for suspect words alone
     counted = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
-    suspects = counted.where((F.col("n") >= 3) & (F.col("bad") >= 0.5 * F.col("n"))).orderBy(F.desc("bad"), "word").limit(MOST_SUSPECTS).select("word")
-    each = each.join(F.broadcast(suspects), "word")
+    suspects = counted.where((F.col("n") >= 3) & (F.col("bad") >= 0.5 * F.col("n"))).select("word")
+    each = each.join(suspects, "word")
     near = F.xxhash64(F.try_element_at("w", F.when(F.col("k") > 0, F.col("k"))), F.try_element_at("w", F.col("k") + 2))
     seen = each.select("doc_id", "toxic", "word", near.alias("near")).groupBy("word", "near").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc"))
     rated = seen.groupBy("word", "doc").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
@@ -189,67 +208,105 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
     cuts = F.filter(F.array(*[F.lit(k) for k in STEMS]), lambda k: k < F.length("word"))
     beginnings = F.explode(F.transform(cuts, lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem")
     # a beginning is held against all words that have it, suspect or not
-    known = counted.select(beginnings, "n", "bad").join(F.broadcast(suspects.select(beginnings).distinct()), "stem")
+    known = counted.select(beginnings, "n", "bad").join(suspects.select(beginnings).distinct(), "stem")
     known = known.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("bad") >= LEAST_SHARE * F.col("n")).select("stem")
     begun = rated.select(beginnings, "n", "bad", "texts").join(known, "stem")
     stems = begun.groupBy(F.concat("stem", F.lit("*")).alias("word")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("texts").alias("texts"), F.count(F.lit(1)).alias("words"))
     both = rated.where(F.length("word") > 2).withColumn("words", F.lit(3)).unionByName(stems)
-    good = both.where((F.col("n") >= LEAST_CONTEXTS) & (F.col("texts") >= 5) & (F.col("words") >= 3) & (F.col("bad") >= LEAST_SHARE * F.col("n")))
-    return [r["word"] for r in good.orderBy(F.desc("bad"), "word").limit(MOST_TERMS).collect()]
+    good = both.where((F.col("n") >= math.ceil(2.4 * least)) & (F.col("texts") >= least) & (F.col("words") >= 3) & (F.col("bad") >= LEAST_SHARE * F.col("n")))
+    return sorted(r["word"] for r in good.select("word").collect())
+
+
+def features(n: Column) -> Column:
+    """What n clauses of a kind add, per unit of weight: further ones add less each."""
+    return F.log2(1.0 + n)
+
+
+def total(weights: list[float]) -> Column:
+    return sum((w * features(F.col(f"e_{k}")) for k, w in zip(EVENTS, weights[1:], strict=True)), F.lit(weights[0]))
+
+
+def probability(weights: list[float]) -> Column:
+    return 1 / (1 + F.exp(-total(weights)))
 
 
 def fit(counts: DataFrame, labels: DataFrame) -> list[float]:
-    """Bias, event weights and the weight of having any outright insult: ridge logistic regression around the prior.
+    """Bias and weights of the clauses' kinds: ridge logistic regression around the prior.
 
-    The counts are capped, so the table of distinct count vectors that the
-    driver sees is bounded, however many texts there are.
+    Each Newton step is one aggregation in Spark, over the different counts
+    that labelled texts have; the driver sees sums alone.
     """
     import numpy as np
 
     names = [f"e_{k}" for k in EVENTS]
-    joined = counts.select("doc_id", *names).join(training_labels(labels), "doc_id")
-    rows = joined.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).collect()
-    prior = np.array([BIAS, *(PRIOR[k] for k in EVENTS), ANY])
-    if not rows:
-        return prior.tolist()
-    x = np.array([[1.0, *(r[c] for c in names), float(r[f"e_{AIMED}"] + r[f"e_{PLAIN}"] > 0)] for r in rows])
-    n, bad = np.array([float(r["n"]) for r in rows]), np.array([float(r["bad"]) for r in rows])
-    w, pull = prior.copy(), RIDGE * np.eye(len(prior))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + pull, x.T @ (bad - n * p) - pull @ (w - prior))
+    rows = counts.select("doc_id", *names).join(training_labels(labels), "doc_id").groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
+    rows = materialize(rows.select(*names, F.col("n").cast("double"), F.col("bad").cast("double")))
+    prior = np.array([BIAS, *(PRIOR[k] for k in EVENTS)])
+    w, pull, size = prior.copy(), RIDGE * np.eye(len(prior)), len(prior)
+    x = [F.lit(1.0), *(features(F.col(c)) for c in names)]
+    for _ in range(30):
+        p = 1 / (1 + F.exp(-F.least(F.greatest(total(w.tolist()), F.lit(-30.0)), F.lit(30.0))))
+        held = rows.select("n", "bad", p.alias("p"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
+        spread, miss = F.col("n") * F.col("p") * (1 - F.col("p")), F.col("bad") - F.col("n") * F.col("p")
+        pairs = [(i, j) for i in range(size) for j in range(i + 1)]
+        sums = held.agg(*[F.sum(F.col(f"x{i}") * miss) for i in range(size)], *[F.sum(spread * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
+        if sums[0] is None:
+            break
+        bend = pull.copy()
+        for (i, j), v in zip(pairs, sums[size:], strict=True):
+            bend[i, j] += v
+            bend[j, i] = bend[i, j]
+        step = np.linalg.solve(bend, np.array(sums[:size]) - pull @ (w - prior))
         w += step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-4:
             break
     return w.tolist()
 
 
-def probability(weights: list[float]) -> Column:
-    total = F.lit(weights[0])
-    for k, w in zip(EVENTS, weights[1:-1], strict=True):
-        total = total + w * F.col(f"e_{k}")
-    total = total + F.when(F.col(f"e_{AIMED}") + F.col(f"e_{PLAIN}") > 0, weights[-1]).otherwise(0.0)
-    return 1 / (1 + F.exp(-total))
+def model(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float], DataFrame]:
+    """Learned terms, weights, and the counts of all rows, written once."""
+    learned = learn_terms(docs, labels)
+    counts = materialize(event_counts(docs, learned))
+    return learned, fit(counts, labels), counts
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, whose score is below 0.5; null and empty texts stay."""
-    labels = labels.select("doc_id", "toxic")
-    counts = event_counts(docs, learn_terms(docs, labels))
-    return counts.where(probability(fit(counts, labels)) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, with their columns, whose score is below 0.5.
+
+    Null and empty texts have no clauses and stay; rows that repeat are judged
+    one by one; an empty table gives no rows; columns of any name are carried
+    along. A text is read in whole, its symbols are held at once.
+    """
+    learned, weights, _ = model(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    arcs, _ = compose(grammar())
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Lexicon(learned)
+        for batch in batches:
+            for begin, n in runs(batch.column(at)):
+                part, keep = batch.slice(begin, n), []
+                for text in part.column(at).to_pylist():
+                    found = events(text or "", symbols, arcs)
+                    keep.append(weights[0] + sum(w * math.log2(1.0 + found.get(k, 0)) for k, w in zip(EVENTS, weights[1:], strict=True)) < 0)
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    schema = ", ".join(f"{n} {k}" for n, (_, k) in zip(names, docs.dtypes, strict=True))
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and the event counts of every row.
+    """doc_id, held_out, score, predicted and the number of clauses of each kind, for every row.
 
-    Null and empty texts have no events and get the score of such texts.
-    Rows with equal ids are scored one by one; other columns are ignored; an
-    empty table gives no rows; without labels the prior weights hold.
+    Null and empty texts have no clauses and get the score of such texts.
+    Rows with equal ids are scored one by one, equal texts alike; other columns
+    are ignored; an empty table gives no rows; without labels the prior
+    weights hold. A text is read in whole, its symbols are held at once.
     """
-    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
-    counts = event_counts(docs, learn_terms(docs, labels))
-    p = probability(fit(counts, labels))
-    names = {AIMED: "n_aimed", PLAIN: "n_plain", SEEN: "n_learned", DENIED: "n_denied", TOLD: "n_reported", THREAT: "n_threats", ACT: "n_violent", TOLD_ACT: "n_reported_violent"}
+    _, weights, counts = model(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    p = probability(weights)
+    names = {AIMED: "n_aimed", PLAIN: "n_plain", REPEATED: "n_repeated", DENIED: "n_denied", TOLD: "n_reported", THREAT: "n_threats", ACT: "n_violent"}
     return counts.select(
         "doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"),
         *[F.col(f"e_{k}").alias(v) for k, v in names.items()],

@@ -10,9 +10,10 @@ as a whole:
   rarest columns of each: rows enter the product through these alone, and
   rows that share none of them are never compared. N-grams of passages that
   many documents have come last, so they bring no rows together;
-* rows so connected form candidate blocks; per pair of row blocks, overlap
-  counts are accumulated over column blocks, and rows whose size-derived
-  bound is out of reach are discarded on the way.
+* rows so connected form candidate groups, dealt into row blocks; per pair of
+  row blocks that has such an n-gram in common, overlap counts are accumulated
+  over column blocks, and rows whose size-derived bound is out of reach are
+  discarded on the way.
 
 Each pair of row blocks returns a spanning forest of its links, so the
 output is linear however many rows are alike.
@@ -216,6 +217,13 @@ def block_links(n: int, percent: int):
     return run
 
 
+def block_pairs(sig: DataFrame, dealt: DataFrame) -> DataFrame:
+    """component, lo, hi: the pairs of a group's row blocks, a block and itself included, that have one of the sigs in common."""
+    held = sig.join(dealt.select("doc_id", "component", "own"), "doc_id").select("sig", "component", "own").distinct()
+    pairs = held.withColumnRenamed("own", "lo").join(held.withColumnRenamed("own", "hi"), ["sig", "component"])
+    return pairs.where("lo <= hi").select("component", "lo", "hi").distinct()
+
+
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row of docs.
 
@@ -225,8 +233,10 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     A text with fewer than n words is one n-gram; null texts and texts
     without words link with nothing. A null doc_id links with nothing and
     keeps a null component. Rows that repeat a doc_id count as one document
-    each, joined in one component. Other columns
-    are ignored; an empty table gives no rows. doc_id must be an integer.
+    each, joined in one component. Other columns are ignored; an empty table
+    gives no rows. doc_id must be an integer. Texts are read in whole: a block
+    of about BLOCK bytes, or one longer text, and about thirty times its size
+    fit a task's memory.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = materialize(features(docs, n, percent))
@@ -240,8 +250,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     dealt = member.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / ROWS))
     dealt = dealt.select(F.col("rep").alias("doc_id"), "key", "component", "copies", "blocks", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).alias("own"))
     texts = known.where(F.col("text").isNotNull()).select("doc_id", "key", "text").join(dealt, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-    paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = paired.select("doc_id", "text", "copies", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    tasks = texts.where("blocks = 1").select("doc_id", "text", "copies", "component", F.col("own").alias("lo"), F.col("own").alias("hi"), F.lit(0).alias("side"))
+    large = texts.where("blocks > 1")
+    near = block_pairs(sig, dealt.where("blocks > 1"))
+    for side, place in ((0, "lo"), (1, "hi")):
+        met = near if side == 0 else near.where("lo < hi")
+        tasks = tasks.unionByName(large.withColumn(place, F.col("own")).join(met, ["component", place]).select("doc_id", "text", "copies", "component", "lo", "hi", F.lit(side).alias("side")))
     found = materialize(tasks.groupBy("component", "lo", "hi").applyInArrow(block_links(n, percent), "doc_id long, root long, n_links long"))
     joined = components(found.where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_links").alias("near"))

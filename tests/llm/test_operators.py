@@ -167,7 +167,37 @@ def test_toxicity_grammar():
     assert read("They said an idiot. Idiot.") == {"T": 1, "I": 1}
     assert read("I will kill you.") == {"H": 1}
     assert read("kill the lights") == {"V": 1}
-    assert read("zorg blargish blarg") == {"L": 2}
+    assert read("zorg blargish blarg") == {"R": 1}  # learned terms are insults like the others
+    assert read("He is not a zorg. They said blargs! You zorg") == {"D": 1, "T": 1, "A": 1}
+    assert read("idiot, moron; idiot; you idiot moron") == {"R": 1, "I": 1, "A": 1}
+    assert read("I will kill you, idiot") == {"H": 1}
+    prior = lambda **n: toxicity.BIAS + sum(toxicity.PRIOR[k] * math.log2(1 + v) for k, v in n.items())
+    assert prior(I=1) < 0 < prior(I=2) and prior(D=1, T=1, V=3) < 0 < prior(R=1) and prior(A=1) > 0 and prior(H=1) > 0
+
+
+def test_toxicity_clauses_by_hand():
+    """The composed machine gives what its transducers give one after the other, over random texts."""
+    lex = toxicity.Lexicon(["zorg"])
+    parts = toxicity.grammar()
+    arcs, _ = toxicity.compose(parts)
+    r = random.Random(8)
+    some = ["idiot", "zorg", "kill", "you", "not", "said", "will", '"', ".", "\n", "tree", "a"]
+    for _ in range(500):
+        text = " ".join(r.choice(some) for _ in range(r.randint(0, 40)))
+        tape = [lex[t] for t in toxicity.TOKEN.findall(text)] + [toxicity.END]
+        for part in parts:
+            state, out = 0, []
+            for symbol in tape:
+                state, made = part.step(state, symbol)
+                out.append(made)
+            tape = out
+        assert toxicity.events(text, lex, arcs) == (collections.Counter(x for x in tape if x.isupper()) if {"idiot", "zorg", "kill"} & set(text.split()) else {})
+
+
+def test_toxicity_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "you idiot", 5, 6, "x"), (2, "a tree", 7, 8, "y"), (2, "a tree", 7, 8, "y"), (None, None, None, None, None)], "doc_id long, text string, e_A int, e_v int, c1 string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert sorted(map(str, toxicity.keep_clean(docs, labels).collect())) == sorted(map(str, docs.where("doc_id = 2 or doc_id is null").collect()))
 
 
 def test_toxicity_learns_and_holds_out(spark):
@@ -358,6 +388,41 @@ def test_sketches_merge(spark):
         assert true <= value * 1.0000001 and value <= true * quality_rules.GAMMA * 1.0000001
 
 
+def test_quality_verdicts_by_hand(spark):
+    """kept, from exact sorts in place of sketches, over groups of many sizes, with a very long text and repeated rows."""
+    r = random.Random(3)
+    rows = []
+    for i in range(420):
+        w = plain(i, r.randint(50, 90)).split()
+        noise = 0.9 if i % 140 == 0 else 0.02 * (i % 40 == 0)
+        for k in range(len(w)):
+            if r.random() < noise:
+                w[k] = r.choice([w[k].upper(), w[k] + "#", w[k] + ",", "\n" + w[k]])
+        rows.append((i % 400, " ".join(w)))
+    rows.append((999, plain(5, 300_000)))
+    docs = table(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 5 < 3, "en").when(F.col("doc_id") % 5 == 3, "de")).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a").otherwise((F.col("doc_id") % 11).cast("string")))
+    out = quality_rules.judge(docs).collect()
+    kind = {x.doc_id: (x.lang, x.source) for x in docs.select("doc_id", "lang", "source").collect()}
+    bin_ = lambda v: quality_rules.GAMMA ** math.ceil(math.log(v) / math.log(quality_rules.GAMMA)) if v > 0 else 0.0
+
+    def fence(values):
+        v = sorted(map(bin_, values))
+        q1, q2, q3, q99 = (v[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5, 0.75, 0.99))
+        return min(1.0, max(q3 * (q3 / q1) ** 4 if q1 > 0 else 3 * q99, q2 + 0.02))
+
+    passed = [x for x in out if not x.base_failed]
+    for x in passed:
+        lang, source = kind[x.doc_id]
+        fits = True
+        for f in quality_rules.FEATURES:
+            same = [y for y in passed if kind[y.doc_id][0] == lang]
+            own = [y[f] for y in same if kind[y.doc_id] == (lang, source)]
+            mid = (len(same) * fence([y[f] for y in same]) + 200 * fence([y[f] for y in passed])) / (len(same) + 200)
+            fits &= x[f] <= (len(own) * fence(own) + 200 * mid) / (len(own) + 200) + 1e-12
+        assert x.kept == fits
+    assert len(out) == len(rows) and not any(x.kept for x in out if x.base_failed) and 0 < sum(not x.kept and not x.base_failed for x in out) < 50
+
+
 def test_urls(spark):
     urls = [
         (None, "", "", None, "allow"), ("no scheme", "", "", None, "allow"), ("http://", "", "", None, "allow"), ("HTTP://WWW.Example.com/en/x?y#z", "www.example.com", "/en/x", "www.example.com/en/", "allow"),

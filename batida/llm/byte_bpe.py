@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from batida.llm.common import add_from_texts
 
-CACHE = 100_000  # pre-tokens that one task remembers
+CACHE = 200_000  # pre-tokens that one task remembers
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -96,8 +97,11 @@ class Codec:
                 known.clear()
                 new = list(set(parts))
             mapped = ["".join(map(self.chars.__getitem__, p.encode())) for p in new]
-            for part, ids in zip(new, self.model.encode(mapped, num_threads=1), strict=True):
-                known[part] = (np.array(ids, np.int32) - 1).astype(np.int32).tobytes()
+            found = self.model.encode(mapped, num_threads=1)
+            flat, end = (np.fromiter(chain.from_iterable(found), np.int32) - np.int32(1)).tobytes(), 0
+            for part, ids in zip(new, found, strict=True):
+                begin, end = end, end + 4 * len(ids)
+                known[part] = flat[begin:end]
         return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
 
     def decode(self, ids) -> bytes:

@@ -28,6 +28,7 @@ FOLDS = 5
 SAMPLE = 20_000  # labelled texts, about, that terms are learned from
 LEAST_SHARE = 0.75  # of a term's neighbourhoods that are in toxic texts
 STEMS = range(4, 9)  # lengths of word beginnings that can be terms
+MOST_SENT = 100_000  # suspect words (some MB) up to which they are sent to all tasks; more are joined by a shuffle, with the same result
 KNOWN_WORDS = 100_000  # that a task remembers
 
 # The lexicons.
@@ -196,13 +197,16 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
     toxic = sample.where("toxic = 1").count()
     least = max(3, round(math.log2(max(1, toxic))) - 3)
     words = F.expr(r"regexp_extract_all(lower(text), '[\\p{L}]+', 0)")
-    each = sample.select("doc_id", "toxic", words.alias("w")).where(F.size("w") > 0).select("doc_id", "toxic", "w", F.posexplode("w").alias("k", "word"))
+    split = sample.select("doc_id", "toxic", words.alias("w")).where(F.size("w") > 0)
+    beside = F.transform("w", lambda x, k: F.struct(x.alias("word"), F.xxhash64(F.get("w", k - 1), F.get("w", k + 1)).alias("near")))
+    each = split.select("doc_id", "toxic", F.explode(beside).alias("at")).select("doc_id", "toxic", "at.word", "at.near")
     # counts come first, so that neighbourhoods are gathered for suspect words alone
     counted = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
     suspects = counted.where((F.col("n") >= 3) & (F.col("bad") >= 0.5 * F.col("n"))).select("word")
-    each = each.join(suspects, "word")
-    near = F.xxhash64(F.try_element_at("w", F.when(F.col("k") > 0, F.col("k"))), F.try_element_at("w", F.col("k") + 2))
-    seen = each.select("doc_id", "toxic", "word", near.alias("near")).groupBy("word", "near").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc"))
+    suspects = materialize(suspects)
+    few = suspects.count() <= MOST_SENT
+    each = each.join(F.broadcast(suspects) if few else suspects, "word")
+    seen = each.groupBy("word", "near").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc"))
     rated = seen.groupBy("word", "doc").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
     rated = rated.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("texts"))
     cuts = F.filter(F.array(*[F.lit(k) for k in STEMS]), lambda k: k < F.length("word"))

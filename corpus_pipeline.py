@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last keep the columns of documents. Between stages the rows are written as
-Parquet in the shared folder and read back.
+Parquet in the shared folder and read back. Every stage takes texts of any
+length, null and empty ones, repeated rows and empty tables; all but the last
+carry columns of any name along.
 """
 
 from __future__ import annotations
@@ -16,36 +18,39 @@ from batida.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar scores below 0.5."""
+    """Documents that the toxicity grammar scores below 0.5; null and empty texts stay."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram Jaccard join: the one with the least doc_id.
 
-    Word n-grams of 5 and a similarity of 0.8. Rows without a doc_id stay;
-    of rows that repeat a doc_id one stays.
+    Word n-grams of 5 and a similarity of 0.8. Rows without a doc_id stay, as
+    do texts that are null or without words, which link with nothing; of rows
+    that repeat a doc_id the one with the least text, then the least of the
+    other columns, stays.
     """
     found = ngram_join.join(docs, n=5, percent=80)
     first = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").select("doc_id", F.struct("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("all"))
+    kept = kept.groupBy("doc_id").agg(F.min("all").alias("all")).select("all.row.*")
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; null texts and rows without a doc_id leak nothing and stay."""
     leaked = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret; n_chars follows."""
+    """All documents, with a mark in place of each secret; n_chars follows. Null texts stay null."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids of every document."""
+    """doc_id, lang, source, n_tokens, ids of every document; a null text has no ids."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.encode_documents(docs.select("doc_id", "text", "lang", "source"), path, public_tokenizers.PATTERN, decoded=False).select("doc_id", "lang", "source", "n_tokens", "ids")
 

@@ -564,3 +564,26 @@ def test_all_operators_on_empty_tables(spark):
 def test_shared_folder(spark):
     df = common.materialize(spark.range(3))
     assert df.count() == 3 and df.columns == ["id"]
+
+
+def test_very_long_texts_and_many_copies(spark):
+    """A text of 60,000 words twice and in part once more, and 300 equal rows, against the rules by hand."""
+    r = random.Random(6)
+    long = [f"v{r.randrange(10**9)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long)), (3, " ".join(long[1000:1060])), (4, "one two three four five six")] + [(5, "a b c d e f g")] * 300
+    docs = table(spark, rows)
+    gone = {(x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.dedup(docs, 35, digest=True).collect()}
+    assert gone == {(1, 60_000, 60_000), (2, 60_000, 60_000), (3, 60, 60), (4, 6, 0), (5, 7, 0)}
+    size = {i: len(t) for i, t in rows}
+    bytes_ = {(x.doc_id, x.n_removed, x.n_spans) for x in suffix_dedup.dedup(docs, 50, digest=True).collect()}
+    assert bytes_ == {(1, 0, 0), (2, size[2], 1), (3, size[3], 1), (4, 0, 0), (5, 0, 0)}
+    linked_ = {(x.doc_id, x.component_id, x.n_shingles) for x in ngram_join.join(docs).collect()}
+    assert linked_ == {(1, 1, 59_998), (2, 1, 59_998), (3, 3, 58), (4, 4, 4), (5, 5, 5)}
+
+
+def test_block_pairs_without_a_common_column_are_left_out(spark):
+    """A chain of candidates over many row blocks gives the blocks that meet alone."""
+    sig = spark.createDataFrame([(k + d, k) for k in range(40) for d in (0, 1)], "doc_id long, sig long")
+    dealt = spark.createDataFrame([(k, 0, k // 4) for k in range(41)], "doc_id long, component long, own long")
+    got = {(x.lo, x.hi) for x in ngram_join.block_pairs(sig, dealt).collect()}
+    assert got == {(b, b) for b in range(11)} | {(b, b + 1) for b in range(10)}

@@ -34,3 +34,30 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == kept[-1]
     assert all(r.n_tokens == len(r.ids) for r in out)
+
+
+def odd_tables(spark, folder, rows, items=()):
+    """Tables with further columns, whose names clash with names inside the operators; the labels are empty."""
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1, "x", [7]) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, e_A int, component string, sigs array<int>")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return docs
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Repeated ids and rows, null ids and texts, further columns, a very long text, no labels and no benchmark; then nothing at all."""
+    words = [a + b for a in "bdfgklmn" for b in ("a", "e", "i", "o", "u")]
+    text = lambda k, n=80: " ".join(random.Random(k).choices(words, k=n))
+    rows = [(1, text(1)), (1, text(1)), (2, text(2)), (2, text(3)), (None, text(4)), (None, None), (5, None), (6, ""), (7, text(7, 60_000)), (8, text(7, 60_000)), (9, "you idiot"), (10, "token = " + "0123456789abcdef" * 2)]
+    docs = odd_tables(spark, f"{tmp_path}/a", rows)
+    left = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        left = stage(spark, left, f"{tmp_path}/a")
+        if k < 4:
+            assert left.columns == docs.columns
+    want = [(None, 0), (None, 1), (1, 1), (2, 1), (5, 0), (6, 0), (7, 1), (10, 1)]
+    got = left.collect()
+    assert sorted(((r.doc_id, int(r.n_tokens > 0)) for r in got), key=str) == sorted(want, key=str)
+    odd_tables(spark, f"{tmp_path}/b", [])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0

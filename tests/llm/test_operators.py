@@ -320,6 +320,19 @@ def test_decontamination_by_occurrence(spark):
         assert got[1, 1].n_changed == got[2, 5].n_changed == 0 and got[6, 6].n_changed == 2 and got[1, 1].coverage <= 1
 
 
+def test_decontamination_asks_for_consistent_slots(spark):
+    """A template filled with other names leaks where each name became one other name, and not where it became several."""
+    item = "please tell us how many apples Tom gave to his sister Ann before Tom and Ann walked home with the apples that Tom had kept for Ann"
+    renamed = item.replace("Tom", "Bob").replace("Ann", "Eve")
+    torn = item
+    for old, new in (("Tom", ("Bob", "Max", "Leo")), ("Ann", ("Eve", "Mia", "Zoe"))):
+        for name in new:
+            torn = torn.replace(old, name, 1)
+    rows = [(1, item), (2, plain(1) + ". " + renamed), (3, torn), (4, plain(2) + ". " + torn), (5, torn + ". " + renamed)]
+    got = {r.doc_id: (r.n_slots, r.n_changed) for r in decontamination.leaks(table(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (2, 0), 2: (2, 2), 5: (2, 2)}
+
+
 def test_decontamination_without_sending(spark, monkeypatch):
     rows = [(1, plain(1) + " " + BENCH[1][1]), (2, plain(3))]
     bench = spark.createDataFrame(BENCH, "item_id long, text string")

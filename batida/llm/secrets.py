@@ -29,6 +29,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = r"[A-Za-z0-9+/_=.-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 WINDOW = 20
+FIELD, PACKED = 5, 12  # bits of a count of a window, which is at most WINDOW; counts in a long
 #: (name, the class as a full match, least window entropy in bits); the first class that fits holds.
 CLASSES = (("hex", "[0-9a-fA-F]+", 2.9), ("base32", "[A-Z2-7]+=*", 3.3), ("base64", "[A-Za-z0-9+/_=.-]+", 3.7))
 # Shapes that are no secrets.
@@ -87,38 +88,44 @@ def spans_of(found: Column, kind: str) -> Column:
     )
 
 
-def _term(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(0.0)
-
-
 def hot_windows(token: Column, least: Column) -> Column:
     """struct<first, last>: where the first and last window of at least that entropy begin; nulls without one.
 
     The state has the counts of the window's characters, the sum of
-    n * log2(n) over them, and the two places.
+    n * log2(n) over them, and the two places. A count is at most WINDOW, so
+    it takes FIELD bits, and PACKED of them share a long.
     """
-    begin = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    words = len(ALPHABET) // PACKED + 1
+    begin = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    term = [n * math.log2(n) if n else 0.0 for n in range(WINDOW + 2)]
+    added = F.array(*[F.lit(term[n] - term[n - 1] if n else 0.0) for n in range(WINDOW + 2)])  # to the sum, by a count that becomes n
+    units = F.array(*[F.lit(1 << FIELD * k).cast("long") for k in range(PACKED)])
+
+    def seat(code: Column) -> Column:
+        """Where the count of a character is: which long, the bits below it, and one in its place; null without a character."""
+        at = (code % PACKED).cast("int")
+        return F.when(code.isNotNull(), F.struct(F.floor(code / PACKED).cast("int").alias("word"), (at * FIELD).alias("bits"), F.get(units, at).alias("unit")))
+
+    def count(counts: Column, seat: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, seat["word"]), seat["bits"]).bitwiseAND(F.lit((1 << FIELD) - 1).cast("long")).cast("int")
 
     def over(known: Column) -> Column:
         codes, bound = known["codes"], known["least"]
 
-        def move(state: Column, code: Column, i: Column) -> Column:
-            full = i >= WINDOW
-            gone = F.when(full, F.get(codes, i - WINDOW))
-            held = F.when(full, F.get(state["counts"], gone)).otherwise(0)
-            # a character that leaves as the same one enters changes nothing
-            same = F.coalesce(gone == code, F.lit(False))
-            now = F.get(state["counts"], code)
-            total = F.when(same, state["sum"]).otherwise(state["sum"] - F.when(full, _term(held) - _term(held - 1)).otherwise(0.0) + _term(now + 1) - _term(now))
-            change = lambda n, k: n + F.when(k == code, 1).otherwise(0) - F.when(full & (k == gone), 1).otherwise(0)
-            counts = F.when(same, state["counts"]).otherwise(F.transform(state["counts"], change))
+        def move(state: Column, x: Column) -> Column:
+            comes, goes, i = x["comes"], x["goes"], x["i"]
+            change = lambda n, k: n + F.when(k == comes["word"], comes["unit"]).otherwise(0) - F.when(k == goes["word"], goes["unit"]).otherwise(0)
+            counts = F.when(x["same"], state["counts"]).otherwise(F.transform(state["counts"], change))
+            gone = F.coalesce(F.get(added, count(state["counts"], goes)), F.lit(0.0))
+            total = F.when(x["same"], state["sum"]).otherwise(state["sum"] - gone + F.get(added, count(state["counts"], comes) + 1))
             hot = (i >= WINDOW - 1) & (math.log2(WINDOW) - total / WINDOW >= bound - 1e-9)
-            at = (i - WINDOW + 1).cast("int")
-            first = F.when(hot, F.coalesce(state["first"], at)).otherwise(state["first"])
-            return F.struct(counts.alias("counts"), total.alias("sum"), first.alias("first"), F.when(hot, at).otherwise(state["last"]).alias("last"))
+            found = F.when(hot, (i - WINDOW + 1).cast("int"))
+            return F.struct(counts.alias("counts"), total.alias("sum"), F.coalesce(state["first"], found).alias("first"), F.coalesce(found, state["last"]).alias("last"))
 
-        numbered = F.transform(codes, lambda c, i: F.struct(c.alias("code"), i.alias("i")))
-        return F.aggregate(numbered, begin, lambda s, x: move(s, x["code"], x["i"]), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+        # a character that leaves as the same one enters changes nothing
+        both = lambda c, i, out: F.struct(seat(c).alias("comes"), seat(out).alias("goes"), F.coalesce(c == out, F.lit(False)).alias("same"), i.alias("i"))
+        moves = F.transform(codes, lambda c, i: both(c, i, F.get(codes, i - WINDOW)))
+        return F.aggregate(moves, begin, move, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
     return once(F.struct(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c)).alias("codes"), least.alias("least")), over)
 

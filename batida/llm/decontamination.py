@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batida.llm.common import materialize
 from batida.llm.substring_dedup import prefix_hashes
 
 WINDOW = 6  # canonical tokens
@@ -26,6 +27,7 @@ LEAST_LITERALS = 4  # of a window's tokens, that are no placeholders
 LEAST_TOKENS = 3  # of an item that is looked for whole
 LEAST_COVER = 0.5  # of an item's tokens, by matched windows
 LEAST_CONSISTENT = 0.8  # distinct item values over distinct (item value, document value) pairs
+SALT = 16  # parts of a hot window or item
 MOST_SENT = 1 << 20  # distinct benchmark windows (8 MB) up to which they are sent to the scan of the documents
 CACHE = 300_000
 SLICE = 1 << 20
@@ -289,6 +291,58 @@ def best_occurrence(matches: list[dict], n_tokens: int) -> tuple[int, float, int
     return None if best is None else (best[1], best[0], best[3], -best[2])
 
 
+def salted(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with a salt, which deals the rows of a hot key into SALT parts."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALT)).cast("int"))
+
+
+def resalted(rows: DataFrame) -> DataFrame:
+    """rows once for each salt: for rows of the benchmark alone."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def pair_counts(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """whole, name, n_pairs: the pairs of a document and an item that a window of both would give."""
+    docs = held.groupBy("whole", "name").agg(F.count("*").alias("n_docs"))
+    items = asked.groupBy("whole", "name").agg(F.count("*").alias("n_items"))
+    return docs.join(items, ["whole", "name"]).select("whole", "name", (F.col("n_docs") * F.col("n_items")).alias("n_pairs"))
+
+
+def leads(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """item_id, whole, name: windows of which every leaking document has one.
+
+    An occurrence covers LEAST_COVER of an item's tokens. So windows that cover
+    less than that together may be left out, those that would give the most
+    pairs first: a phrase that many documents and items share gives no pairs
+    where the rest of the item has to be there as well.
+    """
+    group = asked.join(counts, ["whole", "name"], "left").groupBy("item_id", "item_row", "n_tokens")
+    own = group.agg(F.collect_set(F.struct(F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "offset", "whole", "name")).alias("own"))
+    kind = dict(asked.dtypes)["item_id"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            at, kept = [], []
+            for k, (n, windows_) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                covered, total = np.zeros(n, bool), 0
+                for w in sorted(windows_.as_py(), key=lambda w: (-w["n_pairs"], w["offset"])):
+                    span = covered[w["offset"] : w["offset"] + (w["whole"] or WINDOW)]
+                    more = len(span) - int(span.sum())
+                    if total + more < LEAST_COVER * n:
+                        span[:] = True
+                        total += more
+                    else:
+                        at.append(k)
+                        kept.append((w["whole"], w["name"]))
+            columns = [pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["item_id", "whole", "name"])
+
+    # a window may stand at several places, or be left out at one of them alone
+    return own.select("item_id", "n_tokens", "own").mapInArrow(choose, f"item_id {kind}, whole long, name long").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots, n_changed of each document and item it leaks.
 
@@ -298,21 +352,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with its own values only. Items of fewer than LEAST_TOKENS tokens can't be
     found. Null texts leak nothing; rows with a null id are left out; rows that repeat an id count as
     one document or item; empty tables give no rows. Ties don't arise: every
-    pair that qualifies is returned.
+    pair that qualifies is returned. A document and an item are paired once they
+    share a lead window (see leads), and only then are all windows of both
+    compared; a hot window's or item's rows are dealt into SALT parts.
     """
     import numpy as np
 
     items = window_rows(benchmark.where(F.col("item_id").isNotNull()), "item_id")
     few = items.select("whole", "name").distinct().limit(MOST_SENT + 1).collect()
-    if len(few) <= MOST_SENT:
+    sent = len(few) <= MOST_SENT
+    if sent:
         lengths = sorted({r["whole"] for r in few} - {0})
         names = {n: np.sort(np.array([r["name"] for r in few if r["whole"] == n], np.int64).astype(np.uint64)) for n in (0, *lengths)}
     else:
         lengths, names = sorted(r["whole"] for r in items.where("whole > 0").select("whole").distinct().collect()), None
     found = window_rows(docs.where(F.col("doc_id").isNotNull()), "doc_id", lengths, names).drop("n_tokens")
     asked = items.select("item_id", F.col("row").alias("item_row"), F.col("place").alias("offset"), "whole", "name", F.col("slots").alias("asked"), "n_tokens")
+    if not sent:
+        found = salted(found, "doc_id", "place").join(resalted(asked.select("whole", "name").distinct()), ["whole", "name", "salt"], "left_semi").drop("salt")
+    hits = materialize(found)
+    held = hits.select("doc_id", "whole", "name").distinct()
+    meets = salted(held, "doc_id").join(resalted(leads(asked, pair_counts(held, asked))), ["whole", "name", "salt"]).select("doc_id", "item_id").distinct()
+    wanted = salted(meets, "doc_id").join(resalted(asked), ["item_id", "salt"]).drop("salt")
     says = (F.size("asked") < F.col("whole")) | (F.col("whole") == 0) | (F.col("asked") == F.col("slots"))
-    pairs = found.join(asked, ["whole", "name"]).where((F.size("slots") == F.size("asked")) & says)
+    pairs = hits.join(wanted, ["doc_id", "whole", "name"]).where((F.size("slots") == F.size("asked")) & says)
     each = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("row", "item_row", "place", "offset", "whole", "asked", "slots", "n_tokens")).alias("matches"))
     kinds = dict(each.dtypes)
 

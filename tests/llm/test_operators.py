@@ -291,6 +291,7 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([*BENCH, BENCH[1]], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(table(spark, rows), bench).collect()}
     assert set(got) - {(10, 1)} == {(1, 2), (3, 1), (6, 2), (8, 2)}
+    assert (got[10, 1].n_slots, got[10, 1].n_changed) == (5, 1)  # five values filled in six ways are 0.83 consistent
     assert (got[3, 1].n_slots, got[3, 1].n_changed) == (5, 4) and got[6, 2].n_changed == 0  # the unit stays
     assert decontamination.leaks(table(spark, rows).where("false"), bench).count() == 0
     assert decontamination.leaks(table(spark, rows), bench.where("false")).count() == 0
@@ -340,6 +341,81 @@ def test_decontamination_without_sending(spark, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in decontamination.leaks(table(spark, rows), bench).collect()] == [(1, 2)]
 
 
+def canon_by_hand(text):
+    """(canonical token, value) of a text's tokens, by the rules as the docstrings give them."""
+    out, opens, number = [], True, False
+    for raw in (text or "").split():
+        core = "".join(c for c in raw if c.isalnum() or c in "%°$€£")
+        if core:
+            low = core.lower()
+            numeric = any(c.isdigit() for c in core) or low in decontamination.NUMBERS
+            kind = low
+            if core[0].isupper() and core[1:] == core[1:].lower() and not numeric and low not in decontamination.UNITS and not opens:
+                kind = "<name>"
+            elif numeric:
+                kind = "<number>"
+            elif low in decontamination.UNITS and number:
+                kind = "<unit>"
+            out.append((kind, "".join(c for c in low if c.isalnum())))
+            number = numeric
+        opens = raw[-1] in ".!?:" if core else opens or raw[-1] in ".!?:"
+    return out
+
+
+SOME = [a + b + "t" for a in "bdfgk" for b in ("a", "e", "i", "o", "u", "au", "ei", "oa")]
+
+
+def leaks_by_hand(rows, bench):
+    """(document, item) -> n_windows, coverage, n_slots, n_changed, comparing each document with each item of six or more tokens."""
+    out = {}
+    held = lambda w: [v for t, v in w if t[0] == "<"]
+    for j, q in bench:
+        item = canon_by_hand(q)
+        for i, t in rows:
+            doc, matches = canon_by_hand(t), []
+            for a in range(len(item) - 5):
+                for b in range(len(doc) - 5):
+                    x, y = item[a : a + 6], doc[b : b + 6]
+                    if [k for k, _ in x] == [k for k, _ in y] and len(held(x)) <= 2:
+                        matches.append({"row": 0, "place": b, "offset": a, "whole": 0, "asked": held(x), "slots": held(y)})
+            best = decontamination.best_occurrence(matches, len(item)) if matches else None
+            if best:
+                out[i, j] = best
+    return out
+
+
+def test_decontamination_by_hand(spark):
+    """The whole result against a comparison of every document with every item, over phrases that most items and documents share."""
+    r = random.Random(11)
+    phrase = "which of the following best describes how"
+    word = lambda: r.choice(["Tom", "Ann", "Rome"]) if r.random() < 0.12 else r.choice("23456789") if r.random() < 0.1 else r.choice(SOME)
+    bench = [(k, f"{phrase if k % 3 else 'tell us'} {' '.join(word() for _ in range(r.randint(14, 24)))}") for k in range(14)]
+    other = {"Tom": "Bob", "Ann": "Eve", "Rome": "Troy", "2": "31", "5": "77"}
+    rows = []
+    for i in range(90):
+        q = r.choice(bench)[1].split()
+        a, b = sorted(r.randrange(len(q) + 1) for _ in range(2))
+        part = q if i % 3 == 0 else q[a:b]
+        if i % 2:
+            part = [other.get(w, w) if r.random() < (1 if i % 4 == 1 else 0.6) else w for w in part]
+        rows.append((i, f"{plain(i, 8)} {phrase} {plain(i + 1, 5)} so {' '.join(part)} {plain(i + 2, r.randint(0, 30))}"))
+    want = leaks_by_hand(rows, bench)
+    assert 30 < len(want) < 90
+    for most in (decontamination.MOST_SENT, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontamination, "MOST_SENT", most)
+            out = decontamination.leaks(table(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
+        assert {(x.doc_id, x.item_id): (x.n_windows, x.coverage, x.n_slots, x.n_changed) for x in out} == want
+
+
+def test_common_phrases_lead_to_no_pairs(spark):
+    """Windows of less than half an item are left out, those with the most pairs first."""
+    asked = spark.createDataFrame([(k, k, o, 0, o if o < 3 else 100 * k + o, [], 20) for k in range(5) for o in range(15)], "item_id long, item_row long, offset long, whole long, name long, asked array<string>, n_tokens long")
+    counts = spark.createDataFrame([(0, o, 10**6) for o in range(3)], "whole long, name long, n_pairs long")
+    got = {(x.item_id, x.name) for x in decontamination.leads(asked, counts).collect()}
+    assert got and not {n for _, n in got} & {0, 1, 2} and {k for k, _ in got} == set(range(5))
+
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 

@@ -232,6 +232,62 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.score(docs, known.where("false")).where("doc_id = 1003 and predicted = 1").count() == 2
 
 
+def terms_by_hand(rows, toxic):
+    """The learned terms, by plain counting; toxic: doc_id -> label of the texts learned from."""
+    sample = [(i, toxic[i], re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in rows if i in toxic]
+    least = max(3, round(math.log2(max(1, sum(y for _, y, _ in sample)))) - 3)
+    n, bad, near = collections.Counter(), collections.Counter(), {}
+    for i, y, w in sample:
+        for k, x in enumerate(w):
+            n[x] += 1
+            bad[x] += y
+            beside = tuple(w[j] for j in (k - 1, k + 1) if 0 <= j < len(w))
+            was = near.setdefault(x, {}).get(beside, (0, math.inf))
+            near[x][beside] = (max(was[0], y), min(was[1], i))
+    rated = {x: (len(near[x]), sum(y for y, _ in near[x].values()), len({i for _, i in near[x].values()})) for x in n if n[x] >= 3 and 2 * bad[x] >= n[x]}
+    cuts = lambda x: [x[:k] for k in toxicity.STEMS if k < len(x)]
+    good = lambda a, b, texts: a >= math.ceil(2.4 * least) and texts >= least and b >= toxicity.LEAST_SHARE * a
+    out = {x for x, r in rated.items() if len(x) > 2 and good(*r)}
+    for stem in {c for x in rated for c in cuts(x)}:
+        every, own = [x for x in n if stem in cuts(x)], [r for x, r in rated.items() if stem in cuts(x)]
+        if sum(bad[x] for x in every) >= toxicity.LEAST_SHARE * sum(n[x] for x in every) and len(own) >= 3:
+            if good(sum(r[0] for r in own), sum(r[1] for r in own), max(r[2] for r in own)):
+                out.add(stem + "*")
+    return sorted(out)
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Terms, weights and the scores of all rows against plain counting and Newton steps over single rows."""
+    import numpy as np
+
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(240):
+        w = plain(i, 40).split()
+        bad = i % 6 == 0
+        for _ in range(r.choice([1, 2, 4]) if bad else int(i % 11 == 0)):
+            w.insert(r.randrange(len(w)), r.choice(["you idiot", "glorp", "snarkel" + r.choice(["s", "ed", "ing", "y"]), "said moron .", "not stupid", "kill", "will kill"] if bad else ["kill", "said idiot ,", "glorp"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    rows += [(6, rows[6][1]), (500, None), (501, "")]
+    learnable = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    docs, known = table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    terms = terms_by_hand(rows, learnable)
+    assert any(t.endswith("*") for t in terms) and toxicity.learn_terms(docs, known) == terms
+    lex, (arcs, _) = toxicity.Lexicon(terms), toxicity.compose(toxicity.grammar())
+    x = np.array([[1, *(math.log2(1 + e.get(k, 0)) for k in toxicity.EVENTS)] for _, t in rows for e in [toxicity.events(t or "", lex, arcs)]])
+    pick = [k for k, (i, _) in enumerate(rows) if i in learnable]
+    a, y = x[pick], np.array([learnable[rows[k][0]] for k in pick])
+    prior = np.array([toxicity.BIAS, *(toxicity.PRIOR[k] for k in toxicity.EVENTS)])
+    w = prior.copy()
+    for _ in range(200):
+        q = 1 / (1 + np.exp(-a @ w))
+        w += 0.5 * np.linalg.solve(toxicity.RIDGE * np.eye(len(w)) + (a.T * (q * (1 - q))) @ a, a.T @ (y - q) - toxicity.RIDGE * (w - prior))
+    want = sorted((i, round(float(v), 3)) for (i, _), v in zip(rows, 1 / (1 + np.exp(-x @ w)), strict=True))
+    got = sorted((g.doc_id, g.score) for g in toxicity.score(docs, known).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(g - v) < 2e-3 for (_, g), (_, v) in zip(got, want, strict=True))
+
+
 def test_lang_model(spark):
     r = random.Random(2)
     words = ["".join(r.choice(["ka", "lo", "mi", "tu"]) for _ in range(r.randint(1, 4))) for _ in range(150)]
@@ -256,6 +312,55 @@ def test_lang_model(spark):
     assert lang_model.score(table(spark, rows).select("doc_id", "text")).count() == len(rows)
 
 
+def test_lang_model_scores_by_hand(spark):
+    """score of every row: counts and sums of one pass over all texts in place of blocks and buckets, experts mixed token by token."""
+    import numpy as np
+    import xxhash
+
+    r = random.Random(9)
+    words = ["".join(r.choice(["ka", "lo", "mi", "tu"]) for _ in range(r.randint(1, 4))) for _ in range(120)]
+    rows = [(i, " ".join(r.choice(words[i % 2 * 40 :]) for _ in range(r.randint(0, 50))), ("en", "de", None)[i % 3]) for i in range(90)] + [(200, None, "en"), (201, "Q" * 900, "en"), (4, "ka LO", "de"), (4, "ka LO", "de"), (None, "ka", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    tokens = [(t or "").encode().lower().split() + [b""] for _, t, _ in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in rows]
+    counts = [collections.Counter(w for t, h, (_, _, x) in zip(tokens, held, rows, strict=True) if not h and x in of for w in t) for of in (("en", "de", None), ("de",), ("en",), (None,))]
+    every = sorted({w for t in tokens for w in t})
+    n = np.zeros((2, sum(lang_model.SLOTS)))
+    for _, _, bit, slots in lang_model.bits([w for w in every if counts[0][w]]):
+        for at in slots:
+            np.add.at(n, (bit, at), 1)
+    fitted, size = 0, 0
+    for bucket in range(8):
+        own = [w for w in every if xxhash.xxh3_64_intdigest(w) % 8 == bucket]
+        known = np.array([k for k, w in enumerate(own) if counts[0][w]], np.int64)
+        known = known[np.argsort(lang_model.mix(known.astype(np.uint64) + np.uint64(1)))]
+        weights, ones, zeros = lang_model.train([own[k] for k in known], n)
+        fitted, size = fitted + np.concatenate([len(known) * weights.ravel(), ones.ravel(), zeros.ravel()]), size + len(known)
+    fitted[: lang_model.GATES * lang_model.INPUTS] /= size
+    natural = dict(zip(every, lang_model.spelled(every, n, *lang_model.packed(fitted)).tolist(), strict=True))
+
+    def chance(k, w):
+        c = counts[k]
+        once, twice, total = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()), sum(c.values())
+        share = once / (once + 2 * twice) if once and twice else 0.5
+        return (max(c[w] - share, 0) + share * len(c) * (chance(0, w) if k else math.exp(natural[w]))) / total
+
+    p = [{w: chance(k, w) for w in every} for k in range(4)]
+    want = []
+    for (i, _, _), t in zip(rows, tokens, strict=True):
+        total, past = 0.0, []
+        for k, w in enumerate(t):
+            rest = p[0][w]
+            own = max(lang_model.OWN * t[:k].count(w) / k + (1 - lang_model.OWN) * rest if k else rest, (1 - lang_model.OWN) * rest)
+            now = [*(q[w] for q in p), own]
+            earned = [math.prod(x[e] for x in past[-lang_model.MEMORY :]) for e in range(5)]
+            total += math.log10(sum(a * b for a, b in zip(earned, now, strict=True)) / sum(earned))
+            past.append(now)
+        want.append((str(i), total))
+    got = sorted((str(x.doc_id), x.score) for x in lang_model.score(docs, block_bytes=700).collect())
+    assert all(a == b and math.isclose(x, y, rel_tol=1e-4, abs_tol=1e-4) for (a, x), (b, y) in zip(got, sorted(want), strict=True))
+
+
 def test_spelling_is_a_distribution():
     """Over an alphabet of two letters, the chances of all words up to a length and of longer ones add up to 1."""
     import itertools

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batida.llm import byte_bpe, conversations, decontamination, lang_model, ngram_join, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity, url_filter
+from batida.llm import byte_bpe, conversations, decontamination, lang_model, ngram_join, quality_rules, secrets, spelling, substring_dedup, suffix_dedup, toxicity, url_filter
 from batida.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digests(table(spark, sf_dir, "conversations"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batida.llm import byte_bpe, conversations, decontamination, lang_model, ngram_join, quality_rules, secrets, spelling, substring_dedup, suffix_dedup, toxicity, url_filter
+from batida.llm import byte_bpe, conversations, decontamination, lang_model, mixing, ngram_join, quality_rules, secrets, spelling, substring_dedup, suffix_dedup, toxicity, url_filter
 from batida.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digests(table(spark, sf_dir, "conversations"))
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_mixing": op13_source_mixing,
 }
 ORACLES = {
     "op9_url_filter": url_filter.oracle(),

@@ -273,9 +273,10 @@ def taken(mix: Mix) -> DataFrame:
     end = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * mix.block)
     part_end = F.least(end, F.col("block") * mix.block + F.coalesce("part", F.lit(0)))
     words = F.col("whole") * (end - start) + F.greatest(part_end - start, F.lit(0))
-    sums = pieces.join(times, ["n_source", "block"]).groupBy("n_source", "begin").agg(F.sum(words).cast("long").alias("taken"))
+    # draws are made from a few rows, so their size would be underrated: never a broadcast
+    sums = pieces.join(times.hint("merge"), ["n_source", "block"]).groupBy("n_source", "begin").agg(F.sum(words).cast("long").alias("taken"))
     # rows without words may stand at the same place as others
-    out = rows.withColumn("own", F.when(F.col("size") > 0, F.col("begin"))).join(sums.withColumnRenamed("begin", "own"), ["n_source", "own"], "left")
+    out = rows.withColumn("own", F.when(F.col("size") > 0, F.col("begin"))).join(sums.withColumnRenamed("begin", "own").hint("merge"), ["n_source", "own"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
@@ -330,7 +331,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -
     rows = made.rows.where("size > 0").select("n_source", "source", "doc_id", "begin", "text")
     pieces = rows.mapInArrow(run, f"n_source long, source string, doc_id {kind}, block long, word long, n_words long, text string")
     left = F.col("block") * block + F.col("cut") - F.col("word")  # words that a cut draw takes of the piece
-    joined = pieces.join(made.draws, ["n_source", "block"]).where(F.col("cut").isNull() | (left > 0))
+    joined = pieces.join(made.draws.hint("merge"), ["n_source", "block"]).where(F.col("cut").isNull() | (left > 0))
     some = F.regexp_substr(F.col("text"), F.concat(F.lit(f"[^{SPACE}]+([{SPACE}]+[^{SPACE}]+){{"), (left - 1).cast("string"), F.lit("}")))
     text = F.when(F.col("cut").isNull() | (left >= F.col("n_words")), F.col("text")).otherwise(some)
     out = joined.select("shard", "place", "round", "source", "doc_id", "word", text.alias("text"))

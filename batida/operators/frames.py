@@ -8,17 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batida.model import MISSING, PUNCH_COLUMNS
+from batida.operators.order import row_index
 
 
-def conform(df: DataFrame, columns=PUNCH_COLUMNS) -> DataFrame:
-    """The columns in order, missing ones '0', nulls and empty cells '0', all others dropped."""
+def conform(df: DataFrame, columns=PUNCH_COLUMNS, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The columns in order, missing ones '0', nulls and empty cells '0'; before them those to keep as they are, all others dropped."""
     cell = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), MISSING).otherwise(F.col(c).cast("string"))
-    return df.select(*[(cell(c) if c in df.columns else F.lit(MISSING)).alias(c) for c in columns])
+    return df.select(*keep, *[(cell(c) if c in df.columns else F.lit(MISSING)).alias(c) for c in columns])
 
 
-def concat(frames: list[DataFrame]) -> DataFrame:
-    """All rows of the frames, nothing dropped; pages stay in order by their own keys."""
-    return reduce(lambda a, b: a.unionByName(b), frames)
+def concat(frames: list[DataFrame], order: list[str] | None = None, index: str = "row_index") -> DataFrame:
+    """All rows of the frames, nothing dropped. With an order, rows are numbered anew: frame after frame, each by order."""
+    if order is None:
+        return reduce(lambda a, b: a.unionByName(b), frames)
+    marked = [f.withColumn("_frame", F.lit(k)) for k, f in enumerate(frames)]
+    return row_index(concat(marked), ["_frame", *order], index).drop("_frame")
 
 
 def calendar_first(calendar: DataFrame, rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

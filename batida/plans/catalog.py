@@ -5,10 +5,6 @@ The twins are DuckDB SQL. Time cards are made from `events` in both.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +14,17 @@ from batida.model import DELIMITERS_A, END_PHRASES_B, END_WORDS_A, PUNCH_COLUMNS
 from batida.operators import frames
 from batida.operators.bounds import end_a, end_b, start_a, start_b
 from batida.operators.layouts import layout_a, layout_b
+from batida.operators.order import first_seen
 from batida.plans import tasks
+from batida.plans.tasklog import STATES, TaskLog
+from batida.sources import pages as sources
 from batida.sources import sinks
+from batida.sources.paged import scan_pages, write_pages
 from batida.sources.synthetic import cards_a, cards_b, day_lines, synthetic_rows
+from batida.sources.workbook import read_workbook, write_workbook
+from batida.storage import is_local, new_path
+from batida.streaming.cards import read_pages
+from batida.streaming.progress import read_batches, write_batches
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -293,11 +297,19 @@ def progress_math(spark, sf_dir):
 # --- frames ------------------------------------------------------------------
 
 
-@query("""SELECT conv_id, turn, role, text FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE turn % 2 = 1 UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE turn = 0""")
+FRAMES_SQL = """frames AS (SELECT 0 AS f, * FROM conversations WHERE turn % 2 = 1 UNION ALL SELECT 1 AS f, * FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT 2 AS f, * FROM conversations WHERE turn = 0),
+numbered AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY f, conv_id, turn, role, text) - 1 AS row_index FROM frames)"""
+
+
+def page_frames(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return frames.concat([turns.where("turn % 2 = 1"), turns.where("turn % 2 = 0"), turns.where("turn = 0")], ["conv_id", "turn", "role", "text"])
+
+
+@query(f"WITH {FRAMES_SQL} SELECT * FROM numbered")
 def page_concat(spark, sf_dir):
-    """Nothing is dropped."""
-    turns = table(spark, sf_dir, "conversations")
-    return frames.concat([turns.where("turn % 2 = 0"), turns.where("turn % 2 = 1"), turns.where("turn = 0")])
+    """Nothing is dropped, and rows are numbered anew over all frames."""
+    return page_frames(spark, sf_dir)
 
 
 @query("""SELECT c_name AS Dia, CASE WHEN c_nationkey % 3 = 0 THEN '0' ELSE c_mktsegment END AS Dia_Semana, CASE WHEN c_nationkey % 4 = 0 THEN '0' ELSE CAST(c_nationkey AS VARCHAR) END AS Entrada1, '0' AS Saida1, '0' AS Entrada2, '0' AS Saida2 FROM customer""")
@@ -321,72 +333,130 @@ def distinct_pages(spark, sf_dir):
     return frames.distinct_pages(table(spark, sf_dir, "conversations"), "turn")
 
 
-def folder(spark, name: str) -> str:
-    """A new folder that all executors share; it goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="batida-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended already; nothing depends on the files
-            return
-
-    atexit.register(drop)
-    return path
+@query(f"""WITH {FRAMES_SQL}, firsts AS (SELECT turn, min(row_index) AS first FROM numbered GROUP BY turn)
+SELECT turn, row_number() OVER (ORDER BY first) - 1 AS rank FROM firsts""")
+def pages_first_seen(spark, sf_dir):
+    """G1: pages in the order they are first seen in concatenated frames, which have no column to order by."""
+    return first_seen(page_frames(spark, sf_dir), "turn", "row_index")
 
 
 PUNCHES_SQL = f"""WITH {CARDS_A_SQL}, {LINES_SQL}, {BOUNDS_A_SQL}, {LINE_A_SQL},
 slots AS (SELECT *, CASE WHEN {SPECIAL_SQL} THEN [] ELSE {NORMAL_SQL} END AS four FROM timed),
-punches AS (SELECT Dia, CASE WHEN Dia_Semana = '' THEN '0' ELSE Dia_Semana END AS Dia_Semana, {pairs_sql("four")} FROM slots)"""
+punches AS (SELECT doc_id, page_no, line_no, Dia, CASE WHEN Dia_Semana = '' THEN '0' ELSE Dia_Semana END AS Dia_Semana, {pairs_sql("four")} FROM slots)"""
 
 
-@query(f"{PUNCHES_SQL} SELECT * FROM punches")
+COLUMNS_SQL = ", ".join(PUNCH_COLUMNS)
+
+
+@query(f"{PUNCHES_SQL} SELECT {COLUMNS_SQL}, row_number() OVER (ORDER BY doc_id, page_no, line_no) - 1 AS row_index FROM punches")
 def csv_roundtrip(spark, sf_dir):
-    """K1: layout A's records, written by the CSV sink, then read back as text."""
-    path = folder(spark, "csv")
+    """K1: layout A's records, written as ordered parts, then read back as text; the index is where a row stands in the files."""
+    path = new_path(spark, "csv")
     sinks.write_csv(layout_a(cards_a(table(spark, sf_dir, "events"))), path)
-    return spark.read.option("sep", ";").option("header", True).csv(path)
+    return sinks.read_csv(spark, path, index="row_index")
 
 
-@query(f"{PUNCHES_SQL} SELECT *, true AS named_by_task, 'completed' AS status, 100 AS progress, 10 AS current_step, 10 AS total_steps FROM punches")
+@query(f"{PUNCHES_SQL} SELECT {COLUMNS_SQL}, true AS named_by_task, 'completed' AS status, 100 AS progress, 10 AS current_step, 10 AS total_steps FROM punches")
 def task_file(spark, sf_dir):
-    """A run that is submitted, looked up, and whose file bears its id."""
-    runs = tasks.Tasks()
-    begun = runs.submit(cards_a(table(spark, sf_dir, "events")), "A", folder(spark, "tasks"))
-    record = runs.wait(begun["task_id"])
+    """The one file of a run, which bears its id, beside the run's record."""
+    record = tasks.run(cards_a(table(spark, sf_dir, "events")), "A", new_path(spark, "tasks"))
     if record["status"] != "completed":
         raise RuntimeError(record.get("error"))
     rows = spark.read.option("sep", ";").option("header", True).csv(record["file_path"])
-    named = F.lit(record["file_path"].endswith(f"/{begun['task_id']}.csv"))
+    named = F.lit(record["file_path"].endswith(f"/{record['task_id']}.csv"))
     return rows.select(*PUNCH_COLUMNS, named.alias("named_by_task"), *[F.lit(record[c]).alias(c) for c in ("status", "progress", "current_step", "total_steps")])
 
 
+@query(f"""{PUNCHES_SQL} SELECT (SELECT count(*) FROM cards) AS n_pages, count(*) AS n_rows,
+    CAST(sum(CAST(Entrada1 <> '0' AS INT) + CAST(Saida1 <> '0' AS INT) + CAST(Entrada2 <> '0' AS INT) + CAST(Saida2 <> '0' AS INT)) AS BIGINT) AS n_times FROM punches""")
+def run_counts(spark, sf_dir):
+    """Pages, rows and filled slots of a run, counted by the pass that extracts."""
+    record = tasks.run(cards_a(table(spark, sf_dir, "events")), "A", new_path(spark, "tasks"))
+    return spark.createDataFrame([(record["n_pages"], record["n_rows"], record["n_times"])], "n_pages long, n_rows long, n_times long")
+
+
+@query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_type FROM events),
+l AS (SELECT task_id, max(seq) AS seq, arg_max(event_type, seq) AS event_type FROM s GROUP BY task_id)
+SELECT task_id, seq, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS status, CAST(least(seq, 10) AS INT) AS current_step, 10 AS total_steps,
+    CAST(least(seq, 10) * 10 AS INT) AS progress, event_type AS message FROM l""")
+def task_states(spark, sf_dir):
+    """Every event is a state of its user's task, appended to a log in two turns; the last state of each task."""
+    from pyspark.sql.window import Window
+
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    step = F.least("seq", F.lit(10))
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "completed").otherwise("processing")
+    named = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), seq.alias("seq"), F.col("ts").alias("at"), "event_type")
+    states = named.select("task_id", "seq", "at", status.alias("status"), step.alias("current_step"), F.lit(10).alias("total_steps"), (step * 10).alias("progress"), F.col("event_type").alias("message"))
+    log = TaskLog(spark, new_path(spark, "log"))
+    log.add(states.where("seq % 2 = 1"))
+    log.add(states.where("seq % 2 = 0"))
+    return log.latest().select(*[f.name for f in STATES if f.name != "at"])
+
+
+@query(f"""{PUNCHES_SQL} SELECT doc_id, page_no, CAST(line_no AS INT) AS line_no, {COLUMNS_SQL} FROM punches""")
+def stream_extract(spark, sf_dir):
+    """C2 as a stream: pages come as files, each batch is written once under its id, also when the stream is started again."""
+    source, target, log = new_path(spark, "stream"), new_path(spark, "batches"), new_path(spark, "offsets")
+    cards_a(table(spark, sf_dir, "events")).repartition(4, "doc_id").write.parquet(source)
+    for _ in range(2):
+        conformed = lambda batch: frames.conform(layout_a(batch), keep=["doc_id", "page_no", "line_no"])
+        write_batches(read_pages(spark, source, files_per_trigger=1), target, log, each=conformed).awaitTermination()
+    return read_batches(spark, target).drop("batch")
+
+
 @query("SELECT event_id, 'cartao_ponto_extraido_' || strftime(ts, '%Y%m%d_%H%M%S') || '.csv' AS name FROM events")
 def display_names(spark, sf_dir):
     """F27, K3."""
     return table(spark, sf_dir, "events").select("event_id", S.display_name(F.col("ts")).alias("name"))
 
 
-@query("SELECT conv_id, CAST(turn AS INT) AS turn, role FROM conversations")
+@query("SELECT conv_id, CAST(CASE WHEN conv_id % 10 = 0 THEN turn ELSE 0 END AS INT) AS turn, role FROM conversations")
 def pages_by_folder(spark, sf_dir):
-    """A folder of files per page, read back."""
-    path = folder(spark, "pages")
-    sinks.write_by_page(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), path, "turn")
+    """Files per page, read back; nine tenths of the rows are of one page, which several tasks write."""
+    path = new_path(spark, "pages")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("conv_id") % 10 == 0, F.col("turn")).otherwise(0).alias("turn"), "role")
+    sinks.write_by_page(rows, path, "turn", most_rows=100)
     return spark.read.option("sep", ";").option("header", True).schema("conv_id long, role string, turn int").csv(path).select("conv_id", "turn", "role")
 
 
-@query("""WITH c AS (SELECT turn, replace(replace(replace(coalesce(role, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS r FROM conversations)
-SELECT turn, '<row><c t="inlineStr"><is><t xml:space="preserve">role</t></is></c></row>' || string_agg('<row><c t="inlineStr"><is><t xml:space="preserve">' || r || '</t></is></c></row>', '' ORDER BY r) AS xml FROM c GROUP BY turn""")
+@query("""SELECT CAST(turn AS VARCHAR) AS page, row_number() OVER (PARTITION BY turn ORDER BY conv_id, role, text) AS row_no, CAST(conv_id AS VARCHAR) AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations""")
 def workbook_sheets(spark, sf_dir):
-    """K6: the sheets of a workbook, one per page, with rows in the frame's order."""
-    rows = table(spark, sf_dir, "conversations").select("turn", "role").orderBy("role")
-    return sinks.sheets(rows, "turn").withColumnRenamed("page", "turn")
+    """K6: a workbook with a sheet for each turn, written by tasks, read back sheet by sheet."""
+    path = new_path(spark, "workbook")
+    write_workbook(table(spark, sf_dir, "conversations").select("turn", "conv_id", "role", "text"), path, "turn", order=["conv_id", "role", "text"])
+    cells = lambda k: F.col("cells")[k]
+    return read_workbook(spark, path).select("page", "row_no", cells(0).alias("conv_id"), cells(1).alias("role"), cells(2).alias("text"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(p AS INT) AS page_no, substr(text, (p - 1) * 500 + 1, 500) AS text FROM documents, range(2, 10) r(p) WHERE length(text) > (p - 1) * 500""")
+def page_range_scan(spark, sf_dir):
+    """Every document's text in pages of 500 characters, in runs of four pages; a scan of pages 2 to 9 opens the first three runs alone."""
+    path = new_path(spark, "runs")
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    paged = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.ceil(F.length("text") / 500))).alias("page_no"))
+    write_pages(paged.select("doc_id", "page_no", F.substring("text", (F.col("page_no") - 1) * 500 + 1, F.lit(500)).alias("text")), path, run=4)
+    return scan_pages(spark, path).where("page_no BETWEEN 2 AND 9")
+
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def customers_in_database(spark, sf_dir, parts: int = 4):
+    """customer in a relational table, in the embedded database that Spark comes with, and a scan of it by ranges of the key."""
+    if not is_local(spark):
+        raise ValueError("the embedded database is in the driver's process; other processes need one on the network")
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = f"jdbc:derby:memory:{new_path(spark, 'db').rpartition('/')[2]};create=true"
+    sources.write_jdbc(table(spark, sf_dir, "customer"), url, "customer", "c_name VARCHAR(64), c_mktsegment VARCHAR(32)", **DERBY)
+    return sources.jdbc_table(spark, url, "customer", key="c_custkey", parts=parts, **DERBY)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+def jdbc_scan(spark, sf_dir):
+    """A table of a database, read in parallel; filter and columns reach the database."""
+    found = customers_in_database(spark, sf_dir).where("c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+    return found.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
 
 
 @query("SELECT page_id, CAST(CASE WHEN page_id % 4 = 0 THEN 5 ELSE 1 END AS INT) AS pages_made FROM pages")

@@ -7,41 +7,66 @@ from datetime import datetime
 from threading import Lock
 
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from batida.model import PREFIX
 from batida.operators.layouts import extract
+from batida.plans.tasklog import TaskLog
 from batida.sources.sinks import EmptyResult, display_name, name_single, write_csv
 
 STEPS = 10
 NO_TABLE = "Nenhuma tabela foi encontrada no PDF"
+# What a task's record says of its steps.
+MESSAGES = {
+    "begin": "Iniciando processamento...",
+    "pages": "Processando páginas...",
+    "join": "Consolidando dados extraídos...",
+    "done": "Processamento concluído com sucesso!",
+    "empty": "Nenhum dado foi extraído.",
+}
 
 
 def new_record(now: datetime) -> dict:
     return {"progress": 0, "message": "", "status": "processing", "current_step": 0, "total_steps": STEPS, "timestamp": now.isoformat()}
 
 
-def run(pages: DataFrame, layout: str, folder: str, task_id: str | None = None, prefix: str = PREFIX) -> dict:
-    """Writes <folder>/<task_id>.csv and returns the task's record.
+def run(pages: DataFrame, layout: str, folder: str, task_id: str | None = None, prefix: str = PREFIX, log: TaskLog | None = None) -> dict:
+    """Writes <folder>/<task_id>.csv and returns the task's record, with the numbers of pages, rows and filled slots.
 
     No rows at all end in status error with the progress at 100; any other
-    failure in status error with the progress at 0. The Spark jobs of the run
-    are in the job group of the task's id, where a status tracker finds them.
+    failure in status error with the progress at 0. The pass that extracts
+    counts too. The Spark jobs of the run are in the job group of the task's
+    id, where a status tracker finds them. Each step's state is appended to
+    the log, if there is one.
     """
     task_id = task_id or str(uuid.uuid4())
     context = pages.sparkSession.sparkContext
     record = new_record(datetime.now()) | {"task_id": task_id}
     context.setJobGroup(task_id, f"time cards, layout {layout}")
+    states = iter(range(1 << 30))
+
+    def say(step: int, message: str, status: str = "processing", **more) -> None:
+        record.update(current_step=step, progress=step * 100 // STEPS, message=message, status=status)
+        record.update(more)
+        if log is not None:
+            log.step(task_id, next(states), status, record["current_step"], STEPS, record["progress"], message)
+
     try:
-        rows = extract(pages, layout)
+        say(0, MESSAGES["begin"])
+        seen = Observation()
+        rows = extract(pages.observe(seen, F.count(F.lit(1)).alias("n_pages")), layout)
         part, target = f"{folder}/{task_id}.parts", f"{folder}/{task_id}.csv"
-        write_csv(rows, part)
+        say(3, MESSAGES["pages"])
+        counts = write_csv(rows, part)
+        record.update(counts, n_pages=seen.get["n_pages"])
+        say(9, MESSAGES["join"])
         name_single(rows, part, target)
-        record |= {"status": "completed", "progress": 100, "current_step": STEPS, "file_path": target, "filename": display_name(datetime.now(), prefix)}
+        say(STEPS, MESSAGES["done"], "completed", file_path=target, filename=display_name(datetime.now(), prefix))
     except EmptyResult:
-        record |= {"status": "error", "progress": 100, "current_step": STEPS, "error": NO_TABLE}
+        say(STEPS, MESSAGES["empty"], "error", error=NO_TABLE)
     except Exception as error:
-        record |= {"status": "error", "progress": 0, "error": str(error)}
+        say(0, str(error), "error", error=str(error))
     finally:
         for key in ("spark.jobGroup.id", "spark.job.description"):
             context.setLocalProperty(key, None)

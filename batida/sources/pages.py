@@ -113,9 +113,31 @@ def pdf_pages(
     return dealt.mapInArrow(texts, "doc_id string, page_no int, text string")
 
 
-def users(spark: SparkSession, url: str, table: str = "user", **options: str) -> DataFrame:
+def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A relational table, read by as many connections as parts, each a range of the numeric or date column key.
+
+    The ranges are of equal width between the key's least and greatest value,
+    which the database finds; without a key, or without values of it, one
+    connection reads the table. Filters and column selection reach the database.
+    """
+    ranges = {}
+    if key:
+        quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+        least, greatest = spark.read.format("jdbc").options(url=url, query=f"SELECT MIN({quoted}) AS least, MAX({quoted}) AS greatest FROM {table}", **options).load().first()
+        if least is not None:
+            ranges = {"partitionColumn": key, "lowerBound": str(least), "upperBound": str(greatest), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options, **ranges).load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, types: str = "", parts: int = 8, **options: str) -> None:
+    """Replaces a relational table by df, over as many connections as parts at most. types: the database's column types, where Spark's choice won't do."""
+    writer = df.write.format("jdbc").mode("overwrite").options(url=url, dbtable=table, numPartitions=str(parts), **options)
+    (writer.option("createTableColumnTypes", types) if types else writer).save()
+
+
+def users(spark: SparkSession, url: str, table: str = "user", key: str | None = None, **options: str) -> DataFrame:
     """A relational table of users; filters on username reach the database."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    return jdbc_table(spark, url, table, key, **options)
 
 
 def create_users(spark: SparkSession, table: str = "users") -> None:

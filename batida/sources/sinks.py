@@ -1,55 +1,100 @@
-"""Writers: the six-column CSV, and page-wise workbooks."""
+"""Writers: the six-column CSV in ordered parts, files per page, and workbooks."""
 
 from __future__ import annotations
 
-import zipfile
 from datetime import datetime
 from typing import BinaryIO
-from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.errors import UnsupportedOperationException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from batida.model import PREFIX
+from batida.model import MISSING, PREFIX, PUNCH_COLUMNS, SLOTS
 from batida.operators.frames import conform
+from batida.operators.order import row_index
+from batida.sources.workbook import MOST_ROWS, write_workbook
+from batida.storage import file_system, materialize, new_path, remove
 
 ORDER = ("doc_id", "page_no", "line_no", "cal_date")
-MOST_ROWS = 1_048_575  # of a sheet, as the file format has it, without the header
+HEADER = "part-0000-header.csv"  # its name sorts before those of the parts with rows
+PARTS = "part-[0-9][0-9][0-9][0-9][0-9]*"
+BUFFER = 1 << 20
 
 
 class EmptyResult(Exception):
     """No table was found in any page."""
 
 
-def _hadoop(df: DataFrame, path: str) -> tuple:
-    """The path's file system and the path, of Hadoop."""
-    spark = df.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def write_csv(punches: DataFrame, path: str, single: bool = True) -> None:
-    """The conformed columns in output order, ';'-separated with a header; one part file if single.
+def write_csv(punches: DataFrame, path: str, parts: int | None = None) -> dict[str, int]:
+    """The conformed columns in output order, ';'-separated, as a folder of part files that follow each other by name.
 
-    Whether there are rows is seen from what is written, so nothing is
-    extracted twice; without any the folder goes again and EmptyResult is raised.
+    Records are extracted once, into a table, and the pass that writes it
+    counts them: n_rows and n_times (filled slots) are returned. Sampled ranges
+    of the order (parts of them, or as many as the session shuffles into) are
+    then sorted and written by a task each. The header is a file of its own,
+    the first. Without any rows nothing is left in path, and EmptyResult is
+    raised.
     """
+    spark = punches.sparkSession
     keys = [c for c in ORDER if c in punches.columns]
-    ordered = conform(punches.orderBy(*keys) if keys else punches)
-    (ordered.coalesce(1) if single else ordered).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
-    if punches.sparkSession.read.option("sep", ";").option("header", True).schema(", ".join(f"{c} string" for c in ordered.columns)).csv(path).isEmpty():
-        fs, where = _hadoop(punches, path)
-        fs.delete(where, True)
+    filled = sum((F.col(c) != MISSING).cast("long") for c in SLOTS)
+    made = Observation()
+    table = materialize(conform(punches, keep=keys).observe(made, F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(filled), F.lit(0)).alias("n_times")))
+    counts = made.get
+    remove(spark, path)
+    if counts["n_rows"] == 0:
+        remove(spark, table._batida_path)
         raise EmptyResult("no rows")
+    ordered = table
+    if keys:
+        ordered = (table.repartitionByRange(parts, *keys) if parts else table.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    ordered.select(*PUNCH_COLUMNS).write.option("sep", ";").option("header", False).csv(path)
+    fs, where = file_system(spark, f"{path}/{HEADER}")
+    out = fs.create(where, True)
+    out.write(bytearray((";".join(PUNCH_COLUMNS) + "\n").encode()))
+    out.close()
+    remove(spark, table._batida_path)
+    return counts
+
+
+def read_csv(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
+    """The rows of a folder that write_csv made; with index, numbered from 0 in the order of its files and their lines."""
+    schema = ", ".join(f"{c} string" for c in PUNCH_COLUMNS)
+    rows = spark.read.option("sep", ";").option("header", False).option("pathGlobFilter", PARTS).schema(schema).csv(path)
+    if index is None:
+        return rows
+    # lines of a file that is read in pieces: pieces by where they begin, lines as they are read
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    return row_index(placed, ["_file", "_start"], index).drop("_file", "_start")
 
 
 def name_single(df: DataFrame, folder: str, target: str) -> None:
-    """Moves the one part file of a written folder to target."""
-    fs, where = _hadoop(df, folder)
-    parts = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")]
-    if len(parts) != 1:
-        raise ValueError(f"{folder} has {len(parts)} part files")
-    fs.rename(parts[0], _hadoop(df, target)[1])
+    """Joins the part files of a written folder, in order, to one file, target.
+
+    A file system that can concatenate does so without moving bytes; elsewhere
+    they are copied part after part, a buffer at a time. target is there when
+    it is whole, not before.
+    """
+    jvm = df.sparkSession.sparkContext._jvm
+    fs, where = file_system(df.sparkSession, folder)
+    parts = sorted((s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    if not parts or parts[0].getName() != HEADER:
+        raise ValueError(f"{folder} was not written by write_csv")
+    whole = parts[0]
+    try:
+        array = df.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+        for k, part in enumerate(parts[1:]):
+            array[k] = part
+        fs.concat(whole, array)
+    except UnsupportedOperationException:
+        whole = jvm.org.apache.hadoop.fs.Path(folder, "whole")
+        out = fs.create(whole, True)
+        for part in parts:
+            stream = fs.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, BUFFER, False)
+            stream.close()
+        out.close()
+    fs.rename(whole, file_system(df.sparkSession, target)[1])
     fs.delete(where, True)
 
 
@@ -61,42 +106,32 @@ def workbook_name(now: datetime) -> str:
     return f"TESTE_debug_{now:%Y%m%d_%H%M%S}.xlsx"
 
 
-def write_by_page(df: DataFrame, path: str, page: str = "Pagina") -> None:
-    """A folder of CSV files per page."""
-    df.write.mode("overwrite").partitionBy(page).option("sep", ";").option("header", True).csv(path)
+def write_by_page(df: DataFrame, path: str, page: str = "Pagina", most_rows: int = 1_000_000) -> None:
+    """A folder of CSV files per page, of most_rows rows each at most.
 
-
-def sheets(df: DataFrame, page: str = "Pagina", most_rows: int = MOST_ROWS) -> DataFrame:
-    """page, xml: the sheet of each page, in order, made in Spark; a page of more rows than a sheet can hold is an error."""
-    columns = [c for c in df.columns if c != page]
-    plain = lambda v: F.replace(F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    cell = lambda v: F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), plain(v), F.lit("</t></is></c>"))
-    line = lambda vs: F.concat(F.lit("<row>"), *[cell(v) for v in vs], F.lit("</row>"))
-    body = line([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
-    rows = df.select(F.col(f"`{page}`").alias("page"), F.monotonically_increasing_id().alias("at"), body.alias("row"))
-    counted = rows.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("at", "row"))).alias("all"))
-    full = F.when(F.col("n") > most_rows, F.raise_error(F.lit(f"a sheet has more than {most_rows} rows"))).otherwise(F.transform("all", lambda x: x["row"]))
-    return counted.select("page", F.concat(line([F.lit(c) for c in columns]), F.array_join(full, "")).alias("xml")).orderBy("page")
+    A page of more rows than that is dealt to as many tasks as it needs files,
+    by salts from the pages' counts; any other page is written by one.
+    """
+    row, salts, known = "_row", "_salts", "_known_page"
+    numbered = materialize(df.withColumn(row, F.monotonically_increasing_id()))
+    counts = numbered.groupBy(F.col(page).alias(known)).agg(F.ceil(F.count(F.lit(1)) / most_rows).alias(salts)).where(F.col(salts) > 1)
+    dealt = numbered.join(counts, F.col(page).eqNullSafe(F.col(known)), "left")
+    salt = F.pmod(F.xxhash64(row), F.coalesce(salts, F.lit(1)))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = dealt.withColumn("_salt", salt).repartition(partitions, page, "_salt").drop("_salt", row, salts, known)
+    spread.write.mode("overwrite").partitionBy(page).option("maxRecordsPerFile", most_rows).option("sep", ";").option("header", True).csv(path)
+    remove(df.sparkSession, numbered._batida_path)
 
 
 def workbook(df: DataFrame, file: BinaryIO, page: str = "Pagina", most_rows: int = MOST_ROWS) -> int:
-    """Writes a spreadsheet file with one sheet per page, in order; returns the number of sheets.
-
-    Sheets come to the driver one at a time, each within the format's bound.
-    """
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package = "http://schemas.openxmlformats.org/package/2006"
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    names: list[str] = []
-    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
-        for row in sheets(df, page, most_rows).toLocalIterator():
-            names.append(escape(str(row["page"])))
-            z.writestr(f"xl/worksheets/sheet{len(names)}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{row["xml"]}</sheetData></worksheet>')
-        numbers = range(1, len(names) + 1)
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in numbers)
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="Pagina_{name}" sheetId="{k}" r:id="r{k}"/>' for k, name in zip(numbers, names, strict=True)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in numbers) + "</Relationships>")
-    return len(names)
+    """Writes a spreadsheet file with one sheet per page to an open file; returns the number of sheets."""
+    spark = df.sparkSession
+    path = new_path(spark, "workbook")
+    sheets = write_workbook(df, path, page, most_rows=most_rows)
+    fs, where = file_system(spark, path)
+    stream = fs.open(where)
+    while chunk := stream.readNBytes(BUFFER):
+        file.write(bytes(chunk))
+    stream.close()
+    remove(spark, path)
+    return sheets

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batida.storage import materialize, remove, shared_dir
+
+__all__ = ["BLOCK_BYTES", "SLICE", "add_from_texts", "held_out", "materialize", "remove", "runs", "shared_dir", "table", "text_bytes"]
+
 #: bytes of text that one block of documents holds on average.
 BLOCK_BYTES = 2 << 20
 #: bytes of text that a task works on at a time.
@@ -22,45 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; only a local session, as in tests, may do without."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get() if found.isDefined() else None
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="batida-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended already; nothing depends on the files
-        return
-
-
-def materialize(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    Cuts lineage; the rows outlive any executor. The files go when the driver
-    ends, or once a table that is written instead of this one is there.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/batida-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._batida_path = path
-    if instead_of is not None:
-        remove(spark, instead_of._batida_path)
-    return out
-
-
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts, to size blocks and buckets by."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

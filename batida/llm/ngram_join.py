@@ -10,10 +10,13 @@ as a whole:
   rarest columns of each: rows enter the product through these alone, and
   rows that share none of them are never compared. N-grams of passages that
   many documents have come last, so they bring no rows together;
-* rows so connected form candidate groups, dealt into row blocks; per pair of
-  row blocks that has such an n-gram in common, overlap counts are accumulated
-  over column blocks, and rows whose size-derived bound is out of reach are
-  discarded on the way.
+* rows so connected form candidate groups. A large group's rows are ordered by
+  the least document they are connected through, then by the size of their
+  sets, and cut into row blocks in that order, so that blocks hold rows that
+  are alike. Two row blocks are multiplied where rows of theirs have such an
+  n-gram in common and sets of sizes that may link;
+* per such pair, overlap counts are accumulated over column blocks, and rows
+  whose size-derived bound is out of reach are discarded on the way.
 
 Each pair of row blocks returns a spanning forest of its links, so the
 output is linear however many rows are alike.
@@ -29,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batida.llm.common import materialize, text_bytes
-from batida.llm.components import components
+from batida.llm.components import components, with_least
 from batida.llm.decontamination import slices
 from batida.llm.repeats import BLOCK, REPLY, REQUEST, bucket_rows, column, mix, reply, send
 from batida.llm.substring_dedup import words
+from batida.operators.order import row_index
 
 ROWS = 256  # documents of a row block
 COLUMNS = 4096  # n-grams of a column block
 COMMON = 255  # counts of blocks are told apart up to this
+MET = 64  # row blocks with an n-gram in common that one task pairs with the others
 
 
 def ngram_sets(texts: list[bytes], n: int) -> list:
@@ -106,11 +111,16 @@ def how_common(table: pa.Table) -> pa.Table:
 def features(docs: DataFrame, n: int, percent: int, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, key (of the set), sigs (the shared ones of its rarest n-grams) and text; null texts where no sigs are left.
 
+    Of a block's rows with equal sets, the one with the least doc_id alone has
+    sigs and text. Null and empty texts have no n-grams and take no part.
+
     Blocks of documents ask the buckets of their n-grams how many blocks have
     them, by 4 bytes each; n-grams that are taken for one another so cost
     time only, as they are alike for all documents.
     """
     kind = dict(docs.dtypes)["doc_id"]
+    none = docs.where("coalesce(text, '') = ''").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("array<long>").alias("sigs"), F.lit(None).cast("string").alias("text"))
+    docs = docs.where("text <> ''")
     total = text_bytes(docs)
     n_blocks, n_buckets = max(8, math.ceil(total / block_bytes)), max(16, math.ceil(total / (16 << 20)))
     by_block = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), "doc_id", "text").groupBy("block")
@@ -129,17 +139,25 @@ def features(docs: DataFrame, n: int, percent: int, block_bytes: int = BLOCK) ->
         names = Names(table, n, n_buckets)
         replies = dict(zip(said.column("bucket").to_pylist(), said.column("payload").to_pylist(), strict=True))
         left = [s.astype(np.int64) for s in names.rarest(replies, percent)]
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in names.sets]
+        # of rows with equal sets, the one with the least doc_id stands for all
+        least: dict[bytes, tuple] = {}
+        for k, (i, key) in enumerate(zip(table.column("doc_id").to_pylist(), keys, strict=True)):
+            if i is not None and (key not in least or i < least[key][0]):
+                least[key] = (i, k)
+        first = {k for _, k in least.values()}
+        left = [s if k in first else s[:0] for k, s in enumerate(left)]
         copied = pa.array([len(s) > 0 for s in left], pa.bool_())
         text = table.column("text").combine_chunks()
         return pa.table(
             {
-                "doc_id": table.column("doc_id"), "n_shingles": pa.array([len(s) for s in names.sets], pa.int64()), "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in names.sets], pa.binary()),
+                "doc_id": table.column("doc_id"), "n_shingles": pa.array([len(s) for s in names.sets], pa.int64()), "key": pa.array(keys, pa.binary()),
                 "sigs": pa.array(left, pa.list_(pa.int64())), "text": pc.if_else(copied, text, pa.scalar(None, text.type)),
             }
         )
 
     said = by_block.applyInArrow(ask, REQUEST).groupBy("bucket").applyInArrow(how_common, REPLY)
-    return by_block.cogroup(said.groupBy("block")).applyInArrow(sift, f"doc_id {kind}, n_shingles long, key binary, sigs array<long>, text string")
+    return by_block.cogroup(said.groupBy("block")).applyInArrow(sift, f"doc_id {kind}, n_shingles long, key binary, sigs array<long>, text string").unionByName(none)
 
 
 def overlaps(left, right, percent: int):
@@ -217,11 +235,34 @@ def block_links(n: int, percent: int):
     return run
 
 
-def block_pairs(sig: DataFrame, dealt: DataFrame) -> DataFrame:
-    """component, lo, hi: the pairs of a group's row blocks, a block and itself included, that have one of the sigs in common."""
-    held = sig.join(dealt.select("doc_id", "component", "own"), "doc_id").select("sig", "component", "own").distinct()
-    pairs = held.withColumnRenamed("own", "lo").join(held.withColumnRenamed("own", "hi"), ["sig", "component"])
-    return pairs.where("lo <= hi").select("component", "lo", "hi").distinct()
+def block_pairs(sig: DataFrame, dealt: DataFrame, percent: int, most: int = MET) -> DataFrame:
+    """component, lo, hi: the pairs of a group's row blocks, a block and itself included, that may hold a link.
+
+    They have a sig in common, in rows whose sets' sizes are within the bound:
+    100 * the smaller >= percent * the larger. A sig of more than `most`
+    blocks is paired by several tasks.
+    """
+    held = sig.join(dealt.select("doc_id", "component", "own", "n_shingles"), "doc_id").groupBy("sig", "component", "own").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    parts = held.groupBy("sig", "component").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).where("parts > 1")
+    held = held.join(parts, ["sig", "component"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    low = held.select("sig", "component", F.col("own").alias("lo"), F.col("least").alias("least_lo"), F.col("most").alias("most_lo"), F.pmod(F.xxhash64("own"), F.col("parts")).cast("int").alias("part"))
+    high = held.select("sig", "component", F.col("own").alias("hi"), "least", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = low.join(high, ["sig", "component", "part"]).where("lo <= hi")
+    fits = (100 * F.col("most") >= percent * F.col("least_lo")) & (100 * F.col("most_lo") >= percent * F.col("least"))
+    return pairs.where(fits).select("component", "lo", "hi").distinct()
+
+
+def row_blocks(member: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
+    """member (rep, component, n_shingles, size, ...) with own, its row block: of `rows` rows at most, alike ones together.
+
+    Groups of up to `rows` rows are one block. The rows of larger ones are
+    numbered in order, without a task that sees a whole group.
+    """
+    few = member.where(F.col("size") <= rows).withColumn("own", F.lit(0).cast("long"))
+    through = edges.groupBy(F.col("b").alias("rep")).agg(F.min("m").alias("through"))
+    many = member.where(F.col("size") > rows).join(through, "rep", "left").withColumn("through", F.coalesce("through", "rep"))
+    placed = row_index(many, ["component", "through", "n_shingles", "rep"], "at").withColumn("own", F.floor(F.col("at") / rows))
+    return few.unionByName(placed.drop("through", "at"))
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -241,18 +282,19 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = materialize(features(docs, n, percent))
     usable = known.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
     sig = usable.select("doc_id", F.explode("sigs").alias("sig"))
-    hubs = sig.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub < most").select("sig", "hub")
-    candidate = components(sig.join(hubs, "sig").where("doc_id > hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    # each sig leads to the least document that has it
+    edges = with_least(sig.select(F.col("sig").alias("a"), F.col("doc_id").alias("b"))).where("b > m").select("b", "m")
+    edges = materialize(edges.distinct())
+    candidate = components(edges.select(F.col("b").alias("a"), F.col("m").alias("b")))
     member = candidate.withColumnRenamed("node", "rep").join(classes, "rep")
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    dealt = member.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / ROWS))
-    dealt = dealt.select(F.col("rep").alias("doc_id"), "key", "component", "copies", "blocks", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).alias("own"))
+    dealt = materialize(row_blocks(member.join(sizes, "component"), edges, ROWS).withColumnRenamed("rep", "doc_id"))
     texts = known.where(F.col("text").isNotNull()).select("doc_id", "key", "text").join(dealt, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-    tasks = texts.where("blocks = 1").select("doc_id", "text", "copies", "component", F.col("own").alias("lo"), F.col("own").alias("hi"), F.lit(0).alias("side"))
-    large = texts.where("blocks > 1")
-    near = block_pairs(sig, dealt.where("blocks > 1"))
+    tasks = texts.where(F.col("size") <= ROWS).select("doc_id", "text", "copies", "component", F.col("own").alias("lo"), F.col("own").alias("hi"), F.lit(0).alias("side"))
+    large = texts.where(F.col("size") > ROWS)
+    near = materialize(block_pairs(sig, dealt.where(F.col("size") > ROWS), percent))
     for side, place in ((0, "lo"), (1, "hi")):
         met = near if side == 0 else near.where("lo < hi")
         tasks = tasks.unionByName(large.withColumn(place, F.col("own")).join(met, ["component", place]).select("doc_id", "text", "copies", "component", "lo", "hi", F.lit(side).alias("side")))

@@ -778,6 +778,6 @@ def test_very_long_texts_and_many_copies(spark):
 def test_block_pairs_without_a_common_column_are_left_out(spark):
     """A chain of candidates over many row blocks gives the blocks that meet alone."""
     sig = spark.createDataFrame([(k + d, k) for k in range(40) for d in (0, 1)], "doc_id long, sig long")
-    dealt = spark.createDataFrame([(k, 0, k // 4) for k in range(41)], "doc_id long, component long, own long")
-    got = {(x.lo, x.hi) for x in ngram_join.block_pairs(sig, dealt).collect()}
+    dealt = spark.createDataFrame([(k, 0, k // 4, 50) for k in range(41)], "doc_id long, component long, own long, n_shingles long")
+    got = {(x.lo, x.hi) for x in ngram_join.block_pairs(sig, dealt, 90).collect()}
     assert got == {(b, b) for b in range(11)} | {(b, b + 1) for b in range(10)}

@@ -7,7 +7,12 @@ one rates each clause by what is left in it; they are composed into one
 machine before any text is read. So a word counts as its clause has it:
 outright or aimed at somebody, repeated, denied, or told of others. A logistic
 model over the clauses of each kind, drawn towards fixed prior weights, gives
-the score; one clause with one bare insult does not reach 0.5 by the prior.
+the score. What decides by itself is a constraint of the fit, not a summand
+that labels of other kinds may outweigh: one insult aimed at somebody, and one
+threat of violence at a person, reach 0.5 and count as much as bare insults do
+at least; denied and reported insults never raise a score. The labels may lift
+the first two where they contradict them. One clause with one bare insult
+stays below 0.5 by the prior, and follows the labels.
 Terms that the labels show beyond the fixed lists are insults like the others.
 """
 
@@ -29,7 +34,12 @@ SAMPLE = 20_000  # labelled texts, about, that terms are learned from
 LEAST_SHARE = 0.75  # of a term's neighbourhoods that are in toxic texts
 STEMS = range(4, 9)  # lengths of word beginnings that can be terms
 MOST_SENT = 100_000  # suspect words (some MB) up to which they are sent to all tasks; more are joined by a shuffle, with the same result
-KNOWN_WORDS = 100_000  # that a task remembers
+KNOWN_WORDS = 100_000  # that a task remembers, of up to LONGEST letters
+LONGEST = 64
+MOST_LABELS = 1_000_000  # labelled ids (some MB) up to which they are sent to all tasks; with more, all texts are counted, with the same result
+MOST_COUNTS = 100_000  # different counts (some MB) that the model is fitted to on the driver; more stay in Spark, with the same result
+MARGIN = 0.2  # beyond 0.5, in log odds, of what decides by itself
+LEAST_SEEN = 20  # labelled texts that may contradict a constraint
 
 # The lexicons.
 INSULTS = (
@@ -48,7 +58,7 @@ OTHER, INSULT, VIOLENCE, PERSON, NEGATION, REPORT, INTENT, QUOTE, END = "o i v p
 AIMED, PLAIN, REPEATED, DENIED, TOLD, THREAT, ACT = "A I R D T H V".split()
 EVENTS = (AIMED, PLAIN, REPEATED, DENIED, TOLD, THREAT, ACT)
 #: Prior weights of the clauses' kinds, and of a text without any (the bias).
-PRIOR = {AIMED: 4.0, PLAIN: 2.0, REPEATED: 3.5, DENIED: 0.5, TOLD: 0.7, THREAT: 3.5, ACT: 0.3}
+PRIOR = {AIMED: 4.0, PLAIN: 2.0, REPEATED: 3.5, DENIED: 0.0, TOLD: 0.0, THREAT: 3.5, ACT: 0.3}
 BIAS = -3.0
 RIDGE = 2.0
 
@@ -86,6 +96,14 @@ def reported() -> Transducer:
     return Transducer(arcs, (0, 1, 2))
 
 
+def threats() -> Transducer:
+    """Intent, at most three words on an act of violence, at most three words on a person: a threat."""
+    arcs = {(s, INTENT): (3, INTENT) for s in range(7)}
+    arcs |= {(s, VIOLENCE): (6, VIOLENCE) for s in range(1, 7)}
+    arcs |= {(s, PERSON): (0, THREAT) for s in range(4, 7)}
+    return Transducer(arcs, (0, 0, 1, 2, 0, 4, 5))
+
+
 def rated() -> Transducer:
     """One event per clause, at its end: the gravest thing in it; two outright insults make a repeated one."""
     ranks = (OTHER, ACT, TOLD, DENIED, PLAIN, REPEATED, AIMED, THREAT)  # by gravity; the state is the index
@@ -101,7 +119,7 @@ def grammar() -> list[Transducer]:
         reported(),
         countdown(NEGATION, 3, {INSULT: DENIED, VIOLENCE: OTHER}),
         countdown(PERSON, 4, {INSULT: AIMED}),
-        countdown(INTENT, 3, {VIOLENCE: THREAT}),
+        threats(),
         rated(),
     ]
 
@@ -142,7 +160,8 @@ class Lexicon(dict):
             symbol = INSULT if any(token[:k] in self.stems for k in STEMS if k < len(token)) else OTHER
         if len(self) > KNOWN_WORDS:
             self.clear()
-        self[token] = symbol
+        if len(token) <= LONGEST:
+            self[token] = symbol
         return symbol
 
 
@@ -218,7 +237,14 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
     stems = begun.groupBy(F.concat("stem", F.lit("*")).alias("word")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("texts").alias("texts"), F.count(F.lit(1)).alias("words"))
     both = rated.where(F.length("word") > 2).withColumn("words", F.lit(3)).unionByName(stems)
     good = both.where((F.col("n") >= math.ceil(2.4 * least)) & (F.col("texts") >= least) & (F.col("words") >= 3) & (F.col("bad") >= LEAST_SHARE * F.col("n")))
-    return sorted(r["word"] for r in good.select("word").collect())
+    return pruned([r["word"] for r in good.select("word").collect()])
+
+
+def pruned(terms: list[str]) -> list[str]:
+    """Terms without those that a shorter beginning covers."""
+    stems = {t[:-1] for t in terms if t.endswith("*")}
+    covered = lambda t: any(t.rstrip("*")[:k] in stems for k in STEMS if k < len(t.rstrip("*")))
+    return sorted(t for t in terms if not covered(t))
 
 
 def features(n: Column) -> Column:
@@ -234,44 +260,119 @@ def probability(weights: list[float]) -> Column:
     return 1 / (1 + F.exp(-total(weights)))
 
 
-def fit(counts: DataFrame, labels: DataFrame) -> list[float]:
-    """Bias and weights of the clauses' kinds: ridge logistic regression around the prior.
+def constraints(contradicted: frozenset[str] = frozenset()) -> list[tuple[list[float], float]]:
+    """Rows (coefficients of bias and weights, least value) of linear constraints."""
+
+    def row(least: float, **of: float) -> tuple[list[float], float]:
+        return [of.get("bias", 0.0), *(of.get(k, 0.0) for k in EVENTS)], least
 
-    Each Newton step is one aggregation in Spark, over the different counts
-    that labelled texts have; the driver sees sums alone.
+    decides = [row(MARGIN, bias=1.0, **{k: 1.0}) for k in (AIMED, THREAT) if k not in contradicted]
+    above = [row(0.0, **{AIMED: 1.0, k: -1.0}) for k in (PLAIN, REPEATED) if AIMED not in contradicted]
+    return decides + above + [row(0.0, **{k: -1.0}) for k in (DENIED, TOLD)]
+
+
+def nearest(bend, pull_to, limits: list[tuple[list[float], float]]):
+    """The w that makes w'bend w / 2 - pull_to'w least within the limits: the best of those that meet some of them exactly."""
+    import itertools
+
+    import numpy as np
+
+    best, least = None, math.inf
+    rows, ends = np.array([r for r, _ in limits]), np.array([e for _, e in limits])
+    for n in range(len(limits) + 1):
+        for met in itertools.combinations(range(len(limits)), n):
+            size, own = len(pull_to), list(met)
+            left = np.zeros((size + n, size + n))
+            left[:size, :size] = bend
+            left[:size, size:], left[size:, :size] = -rows[own].T, rows[own]
+            try:
+                w = np.linalg.solve(left, np.r_[pull_to, ends[own]])[:size]
+            except np.linalg.LinAlgError:
+                continue
+            value = w @ bend @ w / 2 - pull_to @ w
+            if value < least and (rows @ w >= ends - 1e-9).all():
+                best, least = w, value
+    return best
+
+
+def fit(counts: DataFrame, labels: DataFrame, most: int = MOST_COUNTS) -> list[float]:
+    """Bias and weights of the clauses' kinds: ridge logistic regression around the prior, within constraints().
+
+    The different counts that labelled texts have, a few hundred rows here, are
+    fitted on the driver up to `most` of them; with more, each Newton step is
+    an aggregation in Spark and the driver sees sums alone. A kind's
+    constraint is lifted where LEAST_SEEN labelled texts or more have such
+    clauses, none graver and no bare insults, and most of these are clean.
     """
     import numpy as np
 
     names = [f"e_{k}" for k in EVENTS]
     rows = counts.select("doc_id", *names).join(training_labels(labels), "doc_id").groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
     rows = materialize(rows.select(*names, F.col("n").cast("double"), F.col("bad").cast("double")))
+    alone = {k: (F.col(f"e_{k}") > 0) & sum((F.col(f"e_{x}") > 0).cast("int") for x in (AIMED, THREAT, PLAIN, REPEATED) if x != k).eqNullSafe(0) for k in (AIMED, THREAT)}
+    seen = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.when(c, F.col(v))).alias(f"{v}_{k}") for k, c in alone.items() for v in ("n", "bad")]).first()
+    contradicted = frozenset(k for k in alone if (seen[f"n_{k}"] or 0) >= LEAST_SEEN and 2 * seen[f"bad_{k}"] < seen[f"n_{k}"])
     prior = np.array([BIAS, *(PRIOR[k] for k in EVENTS)])
-    w, pull, size = prior.copy(), RIDGE * np.eye(len(prior)), len(prior)
-    x = [F.lit(1.0), *(features(F.col(c)) for c in names)]
+    size, pull = len(prior), RIDGE * np.eye(len(prior))
+    sums = _sums_here(rows, names) if seen["rows"] <= most else _sums_in_spark(rows, names)
+    limits, w = constraints(contradicted), prior.copy()
     for _ in range(30):
+        slope, bend = sums(w)
+        bend = bend + pull
+        after = nearest(bend, bend @ w + slope - pull @ (w - prior), limits)
+        step = after - w
+        w = w + step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-3:
+            break
+    return w.tolist()
+
+
+def _sums_here(rows: DataFrame, names: list[str]):
+    """w -> slope and curvature of the log likelihood over rows, which the driver holds."""
+    import numpy as np
+
+    held = rows.toArrow().to_pydict()
+    x = np.column_stack([np.ones(len(held["n"])), *(np.log2(1.0 + np.array(held[c], float)) for c in names)]).reshape(len(held["n"]), len(names) + 1)
+    n, bad = np.array(held["n"], float), np.array(held["bad"], float)
+
+    def sums(w):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        return x.T @ (bad - n * p), (x * (n * p * (1 - p))[:, None]).T @ x
+
+    return sums
+
+
+def _sums_in_spark(rows: DataFrame, names: list[str]):
+    """w -> the same sums, by one aggregation."""
+    import numpy as np
+
+    size = len(names) + 1
+    x = [F.lit(1.0), *(features(F.col(c)) for c in names)]
+    pairs = [(i, j) for i in range(size) for j in range(i + 1)]
+
+    def sums(w):
         p = 1 / (1 + F.exp(-F.least(F.greatest(total(w.tolist()), F.lit(-30.0)), F.lit(30.0))))
         held = rows.select("n", "bad", p.alias("p"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
         spread, miss = F.col("n") * F.col("p") * (1 - F.col("p")), F.col("bad") - F.col("n") * F.col("p")
-        pairs = [(i, j) for i in range(size) for j in range(i + 1)]
-        sums = held.agg(*[F.sum(F.col(f"x{i}") * miss) for i in range(size)], *[F.sum(spread * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
-        if sums[0] is None:
-            break
-        bend = pull.copy()
-        for (i, j), v in zip(pairs, sums[size:], strict=True):
-            bend[i, j] += v
-            bend[j, i] = bend[i, j]
-        step = np.linalg.solve(bend, np.array(sums[:size]) - pull @ (w - prior))
-        w += step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-4:
-            break
-    return w.tolist()
+        found = held.agg(*[F.sum(F.col(f"x{i}") * miss) for i in range(size)], *[F.sum(spread * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
+        bend = np.zeros((size, size))
+        for (i, j), v in zip(pairs, found[size:], strict=True):
+            bend[i, j] = bend[j, i] = v or 0.0
+        return np.array([v or 0.0 for v in found[:size]]), bend
+
+    return sums
+
 
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
+    """The rows of docs that the model is fitted to, or all of them where more than `most` ids are labelled."""
+    ids = training_labels(labels).select("doc_id")
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= most else docs
 
-def model(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float], DataFrame]:
-    """Learned terms, weights, and the counts of all rows, written once."""
+
+def model(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float]]:
+    """Learned terms and weights; of docs, labelled rows alone are read in whole."""
     learned = learn_terms(docs, labels)
-    counts = materialize(event_counts(docs, learned))
-    return learned, fit(counts, labels), counts
+    return learned, fit(event_counts(labelled(docs, labels), learned), labels)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -281,7 +382,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     one by one; an empty table gives no rows; columns of any name are carried
     along. A text is read in whole, its symbols are held at once.
     """
-    learned, weights, _ = model(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    learned, weights = model(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     arcs, _ = compose(grammar())
     at = docs.columns.index("text")
 
@@ -308,8 +409,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are ignored; an empty table gives no rows; without labels the prior
     weights hold. A text is read in whole, its symbols are held at once.
     """
-    _, weights, counts = model(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    p = probability(weights)
+    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
+    learned = learn_terms(docs, labels)
+    counts = materialize(event_counts(docs, learned))
+    p = probability(fit(counts, labels))
     names = {AIMED: "n_aimed", PLAIN: "n_plain", REPEATED: "n_repeated", DENIED: "n_denied", TOLD: "n_reported", THREAT: "n_threats", ACT: "n_violent"}
     return counts.select(
         "doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"),

@@ -584,8 +584,9 @@ def test_sketches_merge(spark):
     one = [(str(k % 3), str(k % 5), *[v if f == "mark_ratio" else 0.0 for f in quality_rules.FEATURES]) for k, v in enumerate(values)]
     ratios = spark.createDataFrame(one, "lang string, source string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES))
     got = {r.feature: r for r in quality_rules.quartiles(quality_rules.sketch(ratios), []).collect()}
-    assert got["mark_ratio"].size == 999 and got["symbol_ratio"].q3 == 0
-    for q, value in zip((0.25, 0.5, 0.75), (got["mark_ratio"].q1, got["mark_ratio"].q2, got["mark_ratio"].q3), strict=True):
+    assert got["mark_ratio"].size == 999 and not got["mark_ratio"].rare
+    assert got["symbol_ratio"].rare and (got["symbol_ratio"].size, got["symbol_ratio"].high, got["symbol_ratio"].most) == (0, 0, 0)
+    for q, value in ((0.25, got["mark_ratio"].low), (0.75, got["mark_ratio"].high), (1, got["mark_ratio"].most)):
         true = sorted(values)[math.ceil(q * 999) - 1]
         assert true <= value * 1.0000001 and value <= true * quality_rules.GAMMA * 1.0000001
 
@@ -607,10 +608,21 @@ def test_quality_verdicts_by_hand(spark):
     kind = {x.doc_id: (x.lang, x.source) for x in docs.select("doc_id", "lang", "source").collect()}
     bin_ = lambda v: quality_rules.GAMMA ** math.ceil(math.log(v) / math.log(quality_rules.GAMMA)) if v > 0 else 0.0
 
-    def fence(values):
+    def fence(values, f):
+        """Number of texts that set it, upper and lower fence."""
         v = sorted(map(bin_, values))
-        q1, q2, q3, q99 = (v[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5, 0.75, 0.99))
-        return min(1.0, max(q3 * (q3 / q1) ** 4 if q1 > 0 else 3 * q99, q2 + 0.02))
+        zeros = v.count(0.0)
+        rare = 4 * zeros >= len(v)
+        rest = v[zeros:] if rare else v
+        top = v[math.ceil(0.99 * len(v)) - 1]
+        if rare and top == 0:
+            return len(v), min(0.02, v[-1]), 0.0
+        q1, q3 = (rest[math.ceil(q * len(rest)) - 1] for q in (0.25, 0.75))
+        factor = max(q3 / q1, 1.1)
+        length = f == "word_length"
+        above = q3 * factor ** (6 if length else 4)
+        above = max(min(above, 3 * top), 1.5 * top) if rare else above
+        return len(rest), min(v[-1], above), q1 / factor**6 if length else 0.0
 
     passed = [x for x in out if not x.base_failed]
     for x in passed:
@@ -618,10 +630,11 @@ def test_quality_verdicts_by_hand(spark):
         fits = True
         for f in quality_rules.FEATURES:
             same = [y for y in passed if kind[y.doc_id][0] == lang]
-            own = [y[f] for y in same if kind[y.doc_id] == (lang, source)]
-            mid = (len(same) * fence([y[f] for y in same]) + 200 * fence([y[f] for y in passed])) / (len(same) + 200)
-            fits &= x[f] <= (len(own) * fence(own) + 200 * mid) / (len(own) + 200) + 1e-12
-        assert x.kept == fits
+            (n, *own), (m, *mid), (_, *top) = (fence([y[f] for y in ys], f) for ys in ([y for y in same if kind[y.doc_id] == (lang, source)], same, passed))
+            most, least = ((n * a + 200 * (m * b + 200 * c) / (m + 200)) / (n + 200) for a, b, c in zip(own, mid, top, strict=True))
+            assert abs(x["max_" + f] - most) < 1e-9
+            fits &= least / 1.005 <= x[f] <= most * 1.005
+        assert x.kept == fits and (x.kept or x.beyond)
     assert len(out) == len(rows) and not any(x.kept for x in out if x.base_failed) and 0 < sum(not x.kept and not x.base_failed for x in out) < 50
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from batida.llm.common import add_from_texts
 
-CACHE = 200_000  # pre-tokens that one task remembers
+CACHE = 16 << 20  # characters and ids of pre-tokens that one task remembers
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -85,6 +85,7 @@ class Codec:
         self.chars = byte_characters()
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.known: dict[str, bytes] = {}  # the ids of a pre-token, four bytes each
+        self.held = 0
 
     def encode(self, text: str):
         """The ids of a text, as an array."""
@@ -93,15 +94,16 @@ class Codec:
         parts, known = self.split(text), self.known
         new = list({p for p in parts if p not in known})
         if new:
-            if len(known) > CACHE:
+            if self.held > CACHE:
                 known.clear()
-                new = list(set(parts))
+                self.held, new = 0, list(set(parts))
             mapped = ["".join(map(self.chars.__getitem__, p.encode())) for p in new]
             found = self.model.encode(mapped, num_threads=1)
             flat, end = (np.fromiter(chain.from_iterable(found), np.int32) - np.int32(1)).tobytes(), 0
             for part, ids in zip(new, found, strict=True):
                 begin, end = end, end + 4 * len(ids)
                 known[part] = flat[begin:end]
+                self.held += len(part) + end - begin
         return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
 
     def decode(self, ids) -> bytes:

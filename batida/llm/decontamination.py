@@ -29,7 +29,8 @@ LEAST_COVER = 0.5  # of an item's tokens, by matched windows
 LEAST_CONSISTENT = 0.8  # distinct item values over distinct (item value, document value) pairs
 SALT = 16  # parts of a hot window or item
 MOST_SENT = 1 << 20  # distinct benchmark windows (8 MB) up to which they are sent to the scan of the documents
-CACHE = 300_000
+CACHE = 300_000  # words that a task remembers, of up to LONGEST bytes
+LONGEST = 64
 SLICE = 1 << 20
 
 # Number words and units.
@@ -64,7 +65,8 @@ class Canon(dict):
         out = xxhash.xxh3_64_intdigest(low), bits
         if len(self) > CACHE:
             self.clear()
-        self[raw] = out
+        if len(raw) <= LONGEST:
+            self[raw] = out
         return out
 
     numbers = frozenset(NUMBERS)

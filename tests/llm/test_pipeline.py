@@ -61,3 +61,11 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     assert sorted(((r.doc_id, int(r.n_tokens > 0)) for r in got), key=str) == sorted(want, key=str)
     odd_tables(spark, f"{tmp_path}/b", [])
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_near_copies_with_maps(spark, tmp_path):
+    """Rows that repeat a doc_id and have columns that can't be ordered: one stays, the same however rows are dealt."""
+    rows = [(1, "a few words", {"k": j}, [{"x": 1}]) for j in range(4)] + [(2, "other words", None, None), (None, None, {"z": 1}, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>, deep array<map<string,int>>")
+    got = [sorted(map(str, corpus_pipeline.drop_near_copies(spark, docs.repartition(n), str(tmp_path)).collect())) for n in (1, 3)]
+    assert got[0] == got[1] and len(got[0]) == 3

@@ -27,13 +27,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Word n-grams of 5 and a similarity of 0.8. Rows without a doc_id stay, as
     do texts that are null or without words, which link with nothing; of rows
-    that repeat a doc_id the one with the least text, then the least of the
-    other columns, stays.
+    that repeat a doc_id the one with the least text, then the least digest of
+    the whole row, stays. Columns of any kind are carried along, maps too.
     """
     found = ngram_join.join(docs, n=5, percent=80)
     first = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select("doc_id", F.struct("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("all"))
-    kept = kept.groupBy("doc_id").agg(F.min("all").alias("all")).select("all.row.*")
+    # a row's digest is of its JSON, which has maps and other kinds that can't be ordered
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct("text", F.sha2(F.to_json(row), 256).alias("digest"))
+    kept = docs.join(first, "doc_id", "left_semi").select("doc_id", row.alias("row"), order.alias("order"))
+    kept = kept.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
@@ -69,6 +72,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        # a stage's table goes once the next one is written
+        docs = before = materialize(stage(spark, docs, sf_dir), instead_of=before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -354,14 +354,17 @@ def test_lang_model_scores_by_hand(spark):
         return (max(c[w] - share, 0) + share * len(c) * (chance(0, w) if k else math.exp(natural[w]))) / total
 
     p = [{w: chance(k, w) for w in every} for k in range(4)]
+    after = collections.Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in zip([b"", *t], t))
     want = []
     for (i, _, _), t in zip(rows, tokens, strict=True):
         total, past = 0.0, []
         for k, w in enumerate(t):
             rest = p[0][w]
             own = max(lang_model.OWN * t[:k].count(w) / k + (1 - lang_model.OWN) * rest if k else rest, (1 - lang_model.OWN) * rest)
-            now = [*(q[w] for q in p), own]
-            earned = [math.prod(x[e] for x in past[-lang_model.MEMORY :]) for e in range(5)]
+            last = t[k - 1] if k else b""
+            order = lang_model.FOLLOW * after[last, w] / counts[0][last] + (1 - lang_model.FOLLOW) * rest if counts[0][last] else rest
+            now = [*(q[w] for q in p), own, order]
+            earned = [math.prod(x[e] for x in past[-lang_model.MEMORY :]) for e in range(6)]
             total += math.log10(sum(a * b for a, b in zip(earned, now, strict=True)) / sum(earned))
             past.append(now)
         want.append((str(i), total))
@@ -369,6 +372,18 @@ def test_lang_model_scores_by_hand(spark):
     assert all(a == b and math.isclose(x, y, rel_tol=1e-4, abs_tol=1e-4) for (a, x), (b, y) in zip(got, sorted(want), strict=True))
 
 
+def test_word_order_counts(spark):
+    """A held-out text in the order of a training text is likelier than the same words in another order, by far."""
+    r = random.Random(11)
+    words = [f"{a}{b}{c}{d}" for a in "klmnprst" for b in "aeiou" for c in "nrstlmkp" for d in "aeiou"]
+    texts = {i: [r.choice(words) for _ in range(60)] for i in range(200)}
+    held = [i for i in range(200, 400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    source = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 10)
+    texts |= {held[0]: list(texts[source]), held[1]: r.sample(texts[source], 60)}
+    out = {x.doc_id: x.score for x in lang_model.score(table(spark, [(i, " ".join(w)) for i, w in texts.items()]), block_bytes=3000).collect()}
+    assert out[held[0]] > 0.8 * out[held[1]]
+
+
 def test_spelling_is_a_distribution():
     """Over an alphabet of two letters, the chances of all words up to a length and of longer ones add up to 1."""
     import itertools

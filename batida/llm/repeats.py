@@ -369,7 +369,9 @@ def remove_repeats(docs: DataFrame, search: Search, finish: Callable[[Block], pa
     docs = docs.select("doc_id", "text")
     total = text_bytes(docs)
     n_blocks, n_buckets = max(8, math.ceil(total / block_bytes)), max(16, math.ceil(total / bytes_per_bucket))
-    blocks = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), "doc_id", "text")
+    # a text without symbols names nothing, so any block will do: however many there are, they are spread
+    deal = F.when(F.coalesce("text", F.lit("")) == "", F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "text"))
+    blocks = docs.select(F.pmod(deal, F.lit(n_blocks)).alias("block"), "doc_id", "text")
     by_block = blocks.groupBy("block")
 
     def number(key) -> int:

@@ -64,6 +64,20 @@ def test_suffix_dedup(spark):
         assert got == want
 
 
+def test_empty_texts_are_spread(spark):
+    """Ten thousand rows without id and text are dealt to all blocks, and each has its row."""
+    rows = [(None, None)] * 9000 + [(None, "")] * 1000 + babble(5)
+    docs = table(spark, rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # partitions stay as they are dealt
+    try:
+        out = suffix_dedup.dedup(docs, 9, digest=True, block_bytes=300, bytes_per_bucket=300)
+        assert out.count() == len(rows) and out.where("n_bytes = 0").count() >= 10_000
+        assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 6000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert substring_dedup.dedup(docs, 5, block_bytes=300, bytes_per_bucket=300).count() == len(rows)
+
+
 def test_hot_anchors_are_dealt_by_span(spark):
     """With every shared anchor taken as hot, the result is the same."""
     rows = babble(4)

@@ -20,7 +20,7 @@ from batida.plans.tasklog import STATES, TaskLog
 from batida.sources import pages as sources
 from batida.sources import sinks
 from batida.sources.paged import scan_pages, write_pages
-from batida.sources.synthetic import cards_a, cards_b, day_lines, synthetic_rows
+from batida.sources.synthetic import cards_a, cards_b, day_lines, synthetic_for
 from batida.sources.workbook import read_workbook, write_workbook
 from batida.storage import is_local, new_path
 from batida.streaming.cards import read_pages
@@ -478,18 +478,19 @@ def counts(spark, sf_dir):
     return day_lines(table(spark, sf_dir, "events")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_days"), F.sum(filled).cast("long").alias("n_times"))
 
 
-DRAW_SQL = "CAST(('0x' || substr(md5('42' || '{k}' || id), 1, 7)) AS BIGINT) % {n} + {low}"
+DRAW_SQL = "CAST(('0x' || substr(md5(page_id || '{k}' || id), 1, 7)) AS BIGINT) % {n} + {low}"
 
 
 def draw_sql(k: str, low: int, high: int) -> str:
     return DRAW_SQL.format(k=k, n=high - low + 1, low=low)
 
 
-@query(f"""SELECT '0' || (id % 5 + 1) || '/11/2021' AS Dia,
+@query(f"""SELECT page_id, '0' || (id % 5 + 1) || '/11/2021' AS Dia,
     ({draw_sql("a", 5, 7)}) || ':' || ({draw_sql("b", 50, 59)}) || ' 11:30 12:30 ' || ({draw_sql("c", 17, 19)}) || ':' || ({draw_sql("d", 50, 59)}) AS Marcacao_Ponto,
     CASE WHEN {draw_sql("e", 0, 999)} > 800 THEN 'Folga' ELSE '' END AS Faltas, '' AS AD_NOT, '' AS H_E_100,
     CASE WHEN {draw_sql("f", 0, 999)} > 700 THEN '00:' || ({draw_sql("g", 20, 59)}) ELSE '' END AS H_E_50, '' AS H_NEG, '' AS COMP_DIA,
-    ({draw_sql("h", 7, 9)}) || ':' || ({draw_sql("i", 10, 50)}) AS SALDO, CAST(id // 5 + 1 AS INT) AS Pagina FROM range(25) t(id)""")
+    ({draw_sql("h", 7, 9)}) || ':' || ({draw_sql("i", 10, 50)}) AS SALDO, CAST(id // 5 + 1 AS INT) AS Pagina FROM pages, range(25) t(id) WHERE page_id % 4 = 0 OR id < 5""")
 def synthetic_cards(spark, sf_dir):
-    """The numbers follow from the seed by digests, so they are the same in any engine."""
-    return synthetic_rows(spark)
+    """Test rows for every request that the table of pages gives, with its page range."""
+    requests = table(spark, sf_dir, "pages").select("page_id", range_text().alias("asked"))
+    return synthetic_for(requests, "page_id", "asked").drop("asked")

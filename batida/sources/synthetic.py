@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batida.functions.scalars import weekday_name
+from batida.functions.scalars import page_count, weekday_name
 from batida.sources.pages import page_range
 
 MOST_PAGES, DAYS = 5, 5
 
 
-def synthetic_rows(spark: SparkSession, pages: str = "1-5", seed: int = 42) -> DataFrame:
-    """Five days a page for up to five pages; the numbers follow from the seed."""
-    bounds = page_range(pages)
-    count = min(bounds[1] - bounds[0] + 1, MOST_PAGES) if bounds and "-" in pages else 1
-    number = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{k}"), F.col("id").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+def synthetic_for(requests: DataFrame, seed: str, pages: str) -> DataFrame:
+    """The columns of requests beside synthetic rows: five days a page, for as many pages as the text in `pages` asks, up to five.
+
+    The numbers follow from the value in `seed` by digests, so any engine makes the same ones.
+    """
+    number = lambda k: F.conv(F.substring(F.md5(F.concat(F.col(seed).cast("string"), F.lit(k), F.col("_id").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
     draw = lambda k, low, high: (number(k) % (high - low + 1) + low).cast("string")
     chance = lambda k: number(k) % 1000 / 1000
-    base = spark.range(count * DAYS)
-    day = F.lpad((F.col("id") % DAYS + 1).cast("string"), 2, "0")
+    last = page_count(F.col(pages), MOST_PAGES) * DAYS - 1
+    base = requests.select("*", F.explode(F.sequence(F.lit(0), last)).alias("_id"))
+    day = F.lpad((F.col("_id") % DAYS + 1).cast("string"), 2, "0")
     return base.select(
+        *requests.columns,
         F.concat(day, F.lit("/11/2021")).alias("Dia"),
         F.concat(draw("a", 5, 7), F.lit(":"), draw("b", 50, 59), F.lit(" 11:30 12:30 "), draw("c", 17, 19), F.lit(":"), draw("d", 50, 59)).alias("Marcacao_Ponto"),
         F.when(chance("e") > 0.8, "Folga").otherwise("").alias("Faltas"),
@@ -30,10 +33,16 @@ def synthetic_rows(spark: SparkSession, pages: str = "1-5", seed: int = 42) -> D
         F.lit("").alias("H_NEG"),
         F.lit("").alias("COMP_DIA"),
         F.concat(draw("h", 7, 9), F.lit(":"), draw("i", 10, 50)).alias("SALDO"),
-        (F.floor(F.col("id") / DAYS) + 1).cast("int").alias("Pagina"),
+        (F.floor(F.col("_id") / DAYS) + 1).cast("int").alias("Pagina"),
     )
 
 
+def synthetic_rows(spark: SparkSession, pages: str = "1-5", seed: int = 42) -> DataFrame:
+    """The synthetic rows of one request."""
+    page_range(pages)
+    return synthetic_for(spark.range(1).select(F.lit(seed).alias("_seed"), F.lit(pages).alias("_pages")), "_seed", "_pages").drop("_seed", "_pages")
+
+
 def day_lines(events: DataFrame) -> DataFrame:
     """user_id, day, times, kinds: the ordered clock times and event types of each user's day."""
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_type")))

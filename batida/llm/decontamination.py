@@ -356,7 +356,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one document or item; empty tables give no rows. Ties don't arise: every
     pair that qualifies is returned. A document and an item are paired once they
     share a lead window (see leads), and only then are all windows of both
-    compared; a hot window's or item's rows are dealt into SALT parts.
+    compared; a hot window's or item's rows are dealt into SALT parts. Texts
+    are read in whole, about SLICE bytes at a time or one longer text. The
+    matches of one document and one item meet in one row: a text with 4,000
+    copies of an item took 6 s.
     """
     import numpy as np
 

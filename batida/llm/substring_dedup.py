@@ -74,7 +74,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, **sizes)
     spans lists the removed runs as first word and word after the last. A
     null text has no words. Texts shorter than the window keep all words.
     Rows that repeat, with equal ids or not, are documents of their own, so
-    each is a copy of the other. Other columns are ignored; an empty table
+    each is a copy of the other. doc_id must be an integer. Other columns are ignored; an empty table
     gives no rows. With digest, kept_sha256 replaces spans and kept. A
     document must fit a task's memory about a hundred times.
     """

@@ -80,7 +80,7 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, digest: bool = False, **s
     A byte goes if a string of `threshold` bytes over it also starts in a
     document with a smaller doc_id. Rows with one doc_id do not remove each
     other's bytes. A null doc_id counts as larger than all others; a null
-    text is empty. Other columns are ignored; an empty table gives no rows.
+    text is empty. doc_id must be an integer. Other columns are ignored; an empty table gives no rows.
     With digest, kept_sha256 replaces spans and kept. A document must fit a
     task's memory about a hundred times.
     """

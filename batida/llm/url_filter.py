@@ -88,7 +88,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, term
     A null url or one without :// has empty host and path, no rule and no
     hits, so it is allowed. Repeated rows are judged alike, one result each;
     other columns are ignored. An empty table gives no rows. A conflict of
-    equal rules is won by the one listed last.
+    equal rules is won by the one listed last. A url is read in whole, in a
+    few times its length.
     """
     terms = weights() if terms is None else terms
     split = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))

@@ -386,6 +386,14 @@ def test_lang_model_scores_by_hand(spark):
     assert all(a == b and math.isclose(x, y, rel_tol=1e-4, abs_tol=1e-4) for (a, x), (b, y) in zip(got, sorted(want), strict=True))
 
 
+def test_long_text_for_the_lang_model(spark):
+    """A text of 300,000 words beside short ones has its counts and a finite score."""
+    r = random.Random(12)
+    long = " ".join(f"w{r.randrange(3000)}" for _ in range(300_000))
+    out = {x.doc_id: x for x in lang_model.score(table(spark, [(1, long), (2, long[:5000]), (3, "w1 w2")])).collect()}
+    assert out[1].n_tokens == 300_001 and all(math.isfinite(x.score) and x.score < 0 for x in out.values())
+
+
 def test_word_order_counts(spark):
     """A held-out text in the order of a training text is likelier than the same words in another order, by far."""
     r = random.Random(11)
@@ -667,6 +675,13 @@ def test_quality_verdicts_by_hand(spark):
     assert len(out) == len(rows) and not any(x.kept for x in out if x.base_failed) and 0 < sum(not x.kept and not x.base_failed for x in out) < 50
 
 
+def test_a_very_long_url(spark):
+    far = "http://a.org/" + "x/" * 1_000_000
+    pages = spark.createDataFrame([(1, far + "casino/"), (2, far), (3, "http://" + "h" * 1_000_000 + ".net/es/1")], "page_id long, url string")
+    got = {r.page_id: (len(r.host), len(r.path), r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect()}
+    assert got == {1: (5, 2_000_008, None, "block"), 2: (5, 2_000_001, None, "allow"), 3: (1_000_004, 5, "net/es/", "block")}
+
+
 def test_urls(spark):
     urls = [
         (None, "", "", None, "allow"), ("no scheme", "", "", None, "allow"), ("http://", "", "", None, "allow"), ("HTTP://WWW.Example.com/en/x?y#z", "www.example.com", "/en/x", "www.example.com/en/", "allow"),

@@ -83,5 +83,6 @@ QUERIES = {
 }
 ORACLES = {
     "op9_url_filter": url_filter.oracle(),
+    "op11_spelling_variants": spelling.oracle(),
     "op12_conversation_repair": conversations.oracle(),
 }

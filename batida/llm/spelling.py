@@ -329,3 +329,26 @@ def variants(docs: DataFrame) -> DataFrame:
     linked = materialize(linked)
     found = roots(linked.where("form IS NOT NULL"))
     return linked.join(found, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def oracle() -> str:
+    """DuckDB SQL for variants(): crc32 byte by byte, neighbours by cutting out each letter."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS i, translate(unnest(regexp_extract_all(text, '[{LETTERS}]+')), '{upper}', '{upper.lower()}') AS w FROM documents),
+own AS (SELECT w, hex(encode(i || ':' || w)) AS x, count(*) AS n FROM runs GROUP BY ALL),
+crc AS (SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM own, bits),
+damaged AS (SELECT CASE WHEN h % {DAMAGED} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM crc),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words),
+cut AS (SELECT word, n, k, substr(word, 1, k - 1) AS head, substr(word, k + 1) AS tail FROM places),
+less AS (SELECT c.word AS long, c.n AS long_n, w.word AS short, w.n AS short_n FROM cut c JOIN words w ON w.word = c.head || c.tail),
+near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION SELECT long, long_n, short, short_n FROM less UNION SELECT short, short_n, long, long_n FROM less),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM near),
+linked AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= {TIMES} * w.n THEN r.near END AS form, CASE WHEN r.near_n >= {TIMES} * w.n THEN r.near_n END AS form_n
+    FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1),
+ways AS (SELECT word, word AS root, 0 AS step FROM linked UNION ALL SELECT ways.word, linked.form, step + 1 FROM ways JOIN linked ON linked.word = ways.root WHERE linked.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM ways GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM linked JOIN roots USING (word)"""

@@ -30,7 +30,7 @@ LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 KIND = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-CONTROLS = [chr(c) for c in range(32) if c not in (9, 10)]  # written as _xHHHH_
+CONTROLS = "[\x00-\x08\x0b-\x1f]"  # characters that are written as _xHHHH_
 
 
 def store(path: str) -> tuple:
@@ -96,6 +96,7 @@ class WorkbookWriter(DataSourceArrowWriter):
         fs, folder = store(self.folder)
         fs.create_dir(folder, recursive=True)
         out = packer = part = None
+        controls = re.compile(CONTROLS)
 
         def close() -> None:
             if part is not None:
@@ -109,7 +110,7 @@ class WorkbookWriter(DataSourceArrowWriter):
                     part = Part(page, f"{folder}/{done.task}-{context.taskAttemptId()}-{len(done.parts)}", 0, 0, 0, 0)
                     done.parts.append(part)
                     out, packer = fs.open_output_stream(part.path), zlib.compressobj(6, zlib.DEFLATED, -15)
-                raw = xml.encode()
+                raw = controls.sub(lambda m: f"_x{ord(m[0]):04X}_", xml).encode()
                 part.rows, part.size, part.crc = part.rows + 1, part.size + len(raw), zlib.crc32(raw, part.crc)
                 part.packed += out.write(packer.compress(raw))
                 if part.rows > self.most_rows:
@@ -261,10 +262,6 @@ class Workbook(DataSource):
 def _row(cells: list[Column]) -> Column:
     def escaped(v: Column) -> Column:
         v = F.regexp_replace(v, "_(?=x[0-9A-Fa-f]{4}_)", "_x005F_")
-        plain = v
-        for c in CONTROLS:
-            plain = F.replace(plain, F.lit(c), F.lit(f"_x{ord(c):04X}_"))
-        v = F.when(v.rlike("[\\x00-\\x08\\x0B-\\x1F]"), plain).otherwise(v)
         return F.replace(F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     cell = lambda v: F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), escaped(v), F.lit("</t></is></c>"))

@@ -11,7 +11,7 @@ from batida.operators import frames
 from batida.operators.order import first_seen, row_index
 from batida.plans import catalog, tasks
 from batida.plans.tasklog import TaskLog
-from batida.sources import paged, sinks, workbook
+from batida.sources import database, paged, sinks, workbook
 from batida.sources import pages as P
 from batida.storage import file_system
 from batida.streaming.cards import read_pages
@@ -227,6 +227,34 @@ def test_database_scan_is_parallel_and_pushed_down(spark):
     assert "EqualTo(c_name,Customer#000000007)" in plan and "ReadSchema: struct<c_custkey" in plan
 
 
+def test_database_scan_on_a_cluster(spark, monkeypatch):
+    """Where driver and executors are several processes, the query has the same rows, and the database gets its filter."""
+    one = sorted(map(tuple, catalog.jdbc_scan(spark, SF).collect()))
+    monkeypatch.setattr(catalog, "is_local", lambda _: False)
+    many = catalog.jdbc_scan(spark, SF)
+    assert one and sorted(map(tuple, many.collect())) == one
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan batida_database" in plan and "BUILDING" not in plan  # Spark filters no more
+    assert catalog.customers_in_database(spark, SF, parts=3).rdd.getNumPartitions() == 3
+
+
+def test_database_files_keep_values(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 1, nan, "NaN"), (2, None, None, None), (2**62, -5, -inf, "x'\"\0y"), (None, 3, 0.5, ""), (-7, 4, 2.0, "ẞ✓")]
+    df = spark.createDataFrame(rows, 'k long, `i"j` int, d double, s string')
+    database.write_database(df, f"{tmp_path}/a", "k", 3)
+    text = lambda rows: sorted(map(str, map(tuple, rows)))
+    got = database.scan_database(spark, f"{tmp_path}/a")
+    assert got.dtypes == df.dtypes and text(got.collect()) == text(df.collect())
+    for where in ("d > 1", "d = double('NaN')", "d <= 2", "s = 'NaN'", "s >= 'x'", "k < 2 and d is not null", "`i\"j` is null", "s like '%y'", "k in (1, 2)"):
+        assert text(got.where(where).collect()) == text(df.where(where).collect()), where
+    assert text(database.scan_database(spark, f"{tmp_path}/a", ["s", "k"]).collect()) == text(df.select("s", "k").collect())
+    database.write_database(df.where("false"), f"{tmp_path}/none", "k")
+    assert database.scan_database(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError, match="when"):
+        database.write_database(spark.sql("select 1L k, current_date() when"), f"{tmp_path}/no", "k")
+
+
 def test_database_scan_of_no_rows(spark):
     url = "jdbc:derby:memory:none;create=true"
     P.write_jdbc(spark.createDataFrame([], "k int"), url, "t", **catalog.DERBY)

@@ -26,13 +26,20 @@ def concat(frames: list[DataFrame], order: list[str] | None = None, index: str =
 
 
 def calendar_first(calendar: DataFrame, rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """calendar (keys, cal_date) left-joined with the first of rows (keys, day, order, value) of that day of month.
+    """calendar (keys, cal_date, or keys and periods from d0 to d1) left-joined with the first of rows (keys, day, order, value) of that day of month.
 
-    The relational form of layout B's look-up: first matches are aggregated
-    map-side, so the join moves one row per key and day.
+    The relational form of layout B's look-up. First matches are aggregated
+    map-side and gathered, 31 of a key at most; periods are joined with them as
+    they are, and spread into days afterwards, so no day is shuffled or sorted.
+    A calendar given day by day is moved once, by key.
     """
-    first = rows.groupBy(*keys, "day").agg(F.min_by(value, order).alias(value))
-    return calendar.withColumn("day", F.day("cal_date")).join(first, [*keys, "day"], "left").drop("day")
+    first = rows.where("day IS NOT NULL").groupBy(*keys, "day").agg(F.min_by(value, order).alias(value))
+    by_day = first.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("day", value))).alias("_by_day"))
+    found = calendar.join(by_day, keys, "left")
+    if "cal_date" not in calendar.columns:
+        days = F.explode(F.sequence("d0", "d1", F.expr("interval 1 day"))).alias("cal_date")
+        found = found.select(*[c for c in found.columns if c not in ("d0", "d1")], days)
+    return found.withColumn(value, F.col("_by_day")[F.day("cal_date")]).drop("_by_day")
 
 
 def distinct_pages(df: DataFrame, page: str = "Pagina", order: str | None = None) -> DataFrame:

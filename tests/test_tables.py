@@ -261,6 +261,16 @@ def test_database_scan_of_no_rows(spark):
     assert P.jdbc_table(spark, url, "t", key="k", **catalog.DERBY).count() == 0
 
 
+def test_calendar_of_periods_moves_no_days(spark):
+    """Periods are spread once they are joined: no exchange and no sort is above the days."""
+    plan = catalog.calendar_fill(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < min(plan.index("Exchange"), plan.index("Sort"))
+    periods = spark.sql("select * from values ('a', date'2019-01-30', date'2019-03-01'), ('b', date'2019-01-01', date'2019-01-02'), (null, date'2019-01-01', date'2019-01-01'), ('c', null, null) t(k, d0, d1)")
+    rows = spark.createDataFrame([("a", 30, 2, "y"), ("a", 30, 1, "x"), ("a", 1, 9, "z"), ("a", None, 0, "n"), (None, 1, 1, "n")], "k string, day int, n int, v string")
+    got = {(r.k, str(r.cal_date)): r.v for r in frames.calendar_first(periods, rows, ["k"], "n", "v").collect()}
+    assert len(got) == 34 and {at: v for at, v in got.items() if v} == {("a", "2019-01-30"): "x", ("a", "2019-02-01"): "z", ("a", "2019-03-01"): "z"}
+
+
 def test_shared_folder(spark, tmp_path):
     fs, where = file_system(spark, str(tmp_path))
     assert fs.exists(where)

@@ -31,6 +31,8 @@ def calendar_first(calendar: DataFrame, rows: DataFrame, keys: list[str], order:
     The relational form of layout B's look-up. First matches are aggregated
     map-side and gathered, 31 of a key at most; periods are joined with them as
     they are, and spread into days afterwards, so no day is shuffled or sorted.
+    A period makes many rows of one, so periods are dealt over as many tasks as
+    the session shuffles into first; by their size alone they would be few.
     A calendar given day by day is moved once, by key.
     """
     first = rows.where("day IS NOT NULL").groupBy(*keys, "day").agg(F.min_by(value, order).alias(value))
@@ -38,7 +40,8 @@ def calendar_first(calendar: DataFrame, rows: DataFrame, keys: list[str], order:
     found = calendar.join(by_day, keys, "left")
     if "cal_date" not in calendar.columns:
         days = F.explode(F.sequence("d0", "d1", F.expr("interval 1 day"))).alias("cal_date")
-        found = found.select(*[c for c in found.columns if c not in ("d0", "d1")], days)
+        tasks = int(calendar.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = found.repartition(tasks, F.xxhash64(*keys)).select(*[c for c in found.columns if c not in ("d0", "d1")], days)
     return found.withColumn(value, F.col("_by_day")[F.day("cal_date")]).drop("_by_day")
 
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -111,3 +112,47 @@ def test_no_text_to_learn_from(spark):
     docs = spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     out = lang_model.score(docs, running=True).collect()
     assert out and all(x.n_known == x.train_tokens == 0 and np.isfinite(x.score) and x.score < 0 for x in out)
+
+
+def test_blocks_go_as_tokens():
+    """Blocks hold all rows once, in order; their tokens take less than half the room of their texts and give the words back."""
+    r = random.Random(4)
+    texts = [None, "", "Ka\x0blo KA", *(" ".join("".join(r.choice(("ka", "lo", "mi", "tu", "ven")) for _ in range(r.randint(1, 6))) for _ in range(300)) for _ in range(60))]
+    rows = pa.table({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string()), "held": [i % 3 == 0 for i in range(len(texts))], "language": pa.array([i % 2 for i in range(len(texts))], pa.int32())})
+    blocks = list(lang_model.cut_into_blocks(rows.to_batches(max_chunksize=7), 20_000))
+    assert 2 < len(blocks) < 30 and pa.concat_tables(blocks).equals(rows)
+    for block in [rows, *blocks]:
+        payload = lang_model.packed_texts(block)
+        t = lang_model.Texts(payload, 3, True)
+        own = [(x or "").encode().lower().split() + [b""] for x in block.column("text").to_pylist()]
+        assert [t.words[k] for k in t.tokens] == [w for x in own for w in x] and t.sizes.tolist() == [len(x) for x in own] and t.words[t.end] == b""
+        assert t.rows.column("doc_id").to_pylist() == block.column("doc_id").to_pylist() and t.counts(2).sum() == sum(len(x) for x, h in zip(own, t.held, strict=True) if not h)
+    assert len(lang_model.packed_texts(rows)) < sum(len(x or "") for x in texts) / 2
+
+
+@pytest.mark.parametrize("width", [8, 40, 63, 64])
+def test_distinct(width):
+    """Distinct values and places are those of np.unique, whether or not the places fit below the values."""
+    values = np.random.default_rng(width).integers(0, 1 << width, 5000, np.uint64, endpoint=False) if width < 64 else np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64)
+    values = np.r_[values, values[:900], values[:50] ^ np.uint64(1)]
+    for part in (values, values[:1], values[:0]):
+        for a, b in zip(bit_mixer.distinct(part), np.unique(part, return_inverse=True), strict=True):
+            assert np.array_equal(a, b)
+
+
+def test_known_words_are_not_spelled(spark, monkeypatch):
+    """Only words that no training text has are spelled where running text is coded."""
+    texts = {i: f"ka lo mi x{i}" for i in range(60)}
+    held = {f"x{i}" for i in texts if zlib.crc32(str(i).encode()) % 10 == 0}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    plain = {x.doc_id: x for x in lang_model.score(docs, running=True).collect()}
+    # a speller that refuses known words
+    real = lang_model.spelled
+
+    def spelled(words, *rest):
+        assert {w.decode() for w in words} <= held, words
+        return real(words, *rest)
+
+    monkeypatch.setattr(lang_model, "spelled", spelled)
+    out = {x.doc_id: x for x in lang_model.score(docs, running=True).collect()}
+    assert out == plain and all(np.isfinite(x.score) and x.score < 0 for x in out.values())
